@@ -17,12 +17,16 @@ SLICE_BYTES = 4 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
+_fallback: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="claimlens-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _fallback:
+            _fallback.append("file://" + tempfile.mkdtemp(prefix="claimlens-"))
+        where = _fallback[0]
     return where.rstrip("/")
 
 
