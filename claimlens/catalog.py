@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import relational, verification
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**verification.QUERIES, **relational.QUERIES}
+ORACLE_SQL: dict[str, str] = {**verification.ORACLE_SQL, **relational.ORACLE_SQL}
