@@ -11,7 +11,7 @@ SQL = {
     "rel_left_join": "SELECT c_mktsegment, count(o_orderkey) AS n_orders, count(*) AS n_rows FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000 GROUP BY c_mktsegment",
     "rel_full_join": "SELECT coalesce(c_nationkey, s_nationkey) AS nation, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM (SELECT * FROM customer WHERE c_nationkey < 15) c FULL JOIN (SELECT * FROM supplier WHERE s_nationkey > 8) s ON c_nationkey = s_nationkey GROUP BY 1",
     "rel_semi_join": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY c_mktsegment",
-    "rel_anti_join": "SELECT c_nationkey, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) GROUP BY c_nationkey",
+    "rel_anti_join": "SELECT c_nationkey, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) GROUP BY c_nationkey",
     "rel_range_join": "SELECT b.lo AS lo, count(*) AS n FROM orders JOIN (SELECT CAST(0 AS DOUBLE) AS lo, CAST(50000 AS DOUBLE) AS hi UNION ALL SELECT 50000, 150000 UNION ALL SELECT 150000, 1000000000) b ON o_totalprice >= b.lo AND o_totalprice < b.hi GROUP BY b.lo",
     "rel_cube": "SELECT coalesce(l_returnflag, '*') AS flag, coalesce(l_linestatus, '*') AS status, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "rel_rollup": "SELECT coalesce(event_type, '*') AS event_type, coalesce(CAST(user_id % 5 AS INT), -1) AS grp, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id % 5)",
