@@ -60,6 +60,8 @@ def mix(
     share: float = 1.5,
     seed: str = "mix",
     buckets: int = 4096,
+    by_id: DataFrame | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """docs(doc_id, text, source, ...) with size, source_size, target, copies and taken.
 
@@ -69,22 +71,31 @@ def mix(
     A row at the edge of the budget is taken if more than half of it fits, so a
     source's taken words miss the target by half a document at most.  A null source is
     a source of its own, after all others.  Keys depend on doc_id and seed alone: reruns
-    agree; rows of one id are ordered by their size and text.  Columns of docs are kept,
-    whatever their names; an empty table gives no rows.
+    agree; rows of one id are ordered by their size and text.  Columns of docs (or those
+    in carry) are kept, whatever their names; an empty table gives no rows.
+
+    by_id(doc_id, quality_weight), one row an id, gives the weights instead of quality;
+    it is joined after the text has become a size, so a text that is not carried never
+    travels.
     """
+    carry = docs.columns if carry is None else carry
 
     quality = F.lit(1.0) if quality is None else F.coalesce(quality, F.lit(1.0))
-    inner = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(docs.columns)]
-    key = -F.ln(uniform(F.col("doc_id"), seed)) / quality
+    inner = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(carry)]
     sized = docs.select(
         *inner,
         F.col("doc_id").cast("long").alias("d"),
         size_of(F.col("text")).alias("size"),
         F.col("source").isNull().alias("s_null"),
         F.coalesce(F.col("source"), F.lit("")).alias("s_key"),
-        key.alias("key"),
+        (-F.ln(uniform(F.col("doc_id"), seed))).alias("draw"),
+        quality.alias("weight"),
         F.xxhash64("text").alias("tie"),
-    ).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+    )
+    if by_id is not None:
+        given = by_id.select(F.col("doc_id").alias("d"), F.col("quality_weight").alias("given"))
+        sized = sized.join(given, "d", "left").withColumn("weight", F.coalesce("given", F.lit(1.0))).drop("given")
+    sized = sized.withColumn("key", F.col("draw") / F.col("weight")).drop("draw", "weight").withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
     sized = materialize(sized, "sized")
     by_bucket = materialize(sized.groupBy("s_null", "s_key", "bucket").agg(F.sum("size").alias("held")), "buckets")
     by_source = targets(by_bucket.groupBy("s_null", "s_key").agg(F.sum("held").alias("source_size")), weights, share)
@@ -97,7 +108,7 @@ def mix(
     extra = (2 * (F.col("start") + F.col("run")) - F.col("size") <= 2 * F.col("rest")) & (F.col("rest") > 0)
     out = placed.withColumn("epochs", epochs).withColumn("rest", rest).withColumn("copies", F.least(F.lit(2), F.col("epochs") + extra.cast("long")))
     return out.select(
-        *[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("size", "source_size", "target", "copies", "taken")],
+        *[F.col(f"in_{i}").alias(c) for i, c in enumerate(carry) if c not in ("size", "source_size", "target", "copies", "taken")],
         "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"),
     )
 

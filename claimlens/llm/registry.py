@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import ship
 from . import bpe, langid, license_scan, mixing, pages, repetition, simhash, spotsigs, suffix_dedup, warc
@@ -41,10 +40,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weight = mixing.quality_weight(_table(spark, sf_dir, "labels")).withColumnRenamed("doc_id", "labelled")
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    weighed = docs.join(weight, F.col("doc_id") == F.col("labelled"), "left").drop("labelled")
-    return mixing.mix(weighed, F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken")
+    weight = mixing.quality_weight(_table(spark, sf_dir, "labels"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), by_id=weight, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,8 @@ def test_mixing(spark, docs, odd):
     want = c.sql(mixing.ORACLE_SQL).df().sort_values("doc_id").reset_index(drop=True)
     for k in want.columns:
         assert (got[k] == want[k]).all(), k
+    thin = mixing.mix(docs, by_id=mixing.quality_weight(labels), carry=["doc_id"]).select(*want.columns).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert (thin == got[list(want.columns)]).all().all()
     out = mixing.mix(odd)
     assert out.count() == len(ODD) and "in_0" not in out.columns and mixing.mix(empty(docs)).count() == 0
 
