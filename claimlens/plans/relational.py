@@ -24,7 +24,7 @@ SQL = {
     "rel_except": "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0",
     "rel_distinct_agg": "SELECT p_brand, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "rel_json": None,
-    "rel_as_of": "SELECT e.event_id, CAST(max(o.o_orderdate) AS DATE) AS last_order FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts GROUP BY e.event_id",
+    "rel_as_of": "SELECT e.event_id, CAST(CAST(max(o.o_orderdate) AS DATE) AS STRING) AS last_order FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts GROUP BY e.event_id",
 }
 _JSON = ("SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS total FROM events GROUP BY event_type", "SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type")
 

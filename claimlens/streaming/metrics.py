@@ -11,7 +11,8 @@ log = logging.getLogger(__name__)
 
 
 def events(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    """A stream of the files that arrive under path; ts is read as an instant, which watermarks need."""
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(stream: DataFrame, late: str = "10 minutes", width: str = "1 day") -> DataFrame:
