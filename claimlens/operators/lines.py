@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: White space at the ends of a line, as Unicode has it, with the separators \x1c to \x1f.
+ENDS = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
 BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
 
 def pseudo_lines(docs: DataFrame, id_col: str, text: str, confidence: Column) -> DataFrame:
     """One row per non-blank line of a text: (id, page, pos, text, confidence, y, x, h), unit boxes."""
-    cut = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), BREAKS), F.trim), lambda s: s != "")
+    cut = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), BREAKS), lambda s: F.regexp_replace(s, ENDS, "")), lambda s: s != "")
     rows = docs.select(F.col(id_col), T.clip01(confidence).alias("confidence"), F.posexplode(cut).alias("pos", "text"))
     return rows.select(id_col, F.lit(0).alias("page"), "pos", "text", "confidence", (F.col("pos") + F.lit(0.5)).alias("y"), F.lit(0.0).alias("x"), F.lit(1.0).alias("h"))
 
