@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import joins
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 SQL = {
@@ -38,5 +41,26 @@ def _run(sql: str):
     return query
 
 
-QUERIES = {k: _run(v or _JSON[0]) for k, v in SQL.items()}
+#: One row a nation on either side before they meet: the same counts without the product of customers and suppliers.
+_FULL = (
+    "SELECT coalesce(c.nation, s.nation) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers "
+    "FROM (SELECT c_nationkey AS nation, count(DISTINCT c_custkey) AS customers FROM customer WHERE c_nationkey < 15 GROUP BY 1) c "
+    "FULL JOIN (SELECT s_nationkey AS nation, count(DISTINCT s_suppkey) AS suppliers FROM supplier WHERE s_nationkey > 8 GROUP BY 1) s ON c.nation = s.nation"
+)
+
+
+def rel_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_totalprice")
+    bands = spark.createDataFrame([(0.0, 50000.0), (50000.0, 150000.0), (150000.0, 1000000000.0)], "lo double, hi double")
+    return joins.in_ranges(prices, bands, "o_totalprice", F.col("lo"), F.col("hi")).groupBy(F.col("q.lo").alias("lo")).agg(F.count("*").alias("n"))
+
+
+def rel_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate")
+    newest = joins.as_of(events, orders, ("user_id", "o_custkey"), ("ts", "o_orderdate"), "400 days").where("r is not null")
+    return newest.select(F.col("l.event_id").alias("event_id"), F.col("r.o_orderdate").cast("date").cast("string").alias("last_order"))
+
+
+QUERIES = {k: _run(v or _JSON[0]) for k, v in SQL.items()} | {"rel_full_join": _run(_FULL), "rel_range_join": rel_range_join, "rel_as_of": rel_as_of}
 ORACLE_SQL = {k: v or _JSON[1] for k, v in SQL.items()}
