@@ -24,7 +24,7 @@ SQL = {
     "rel_top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "rel_union": "SELECT c_nationkey AS nation, 'c' AS side FROM customer UNION SELECT s_nationkey, 's' FROM supplier",
     "rel_intersect": "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 5000 INTERSECT SELECT s_nationkey FROM supplier",
-    "rel_except": "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0",
+    "rel_except": "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000",
     "rel_distinct_agg": "SELECT p_brand, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
     "rel_json": None,
     "rel_as_of": "SELECT e.event_id, CAST(CAST(max(o.o_orderdate) AS DATE) AS STRING) AS last_order FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts GROUP BY e.event_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import audit, decide, extract, fraud, lines, rectify, validate
+from ..operators import audit, decide, extract, fraud, lines, rectify, respond, validate
 from ..session import ship
 from . import fixtures
 
@@ -145,6 +145,22 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.select("request_id", T.same_name(F.col("name"), turned).alias("turned"), T.same_name(F.col("name"), F.concat(F.col("name"), F.lit(" Rao"))).alias("longer"), T.same_name(F.col("name"), F.lit("Quite Other")).alias("other"))
 
 
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (requests,) = _load(spark, sf_dir, "kyc_requests")
+    return respond.summary(decide.decide(requests), "decision")
+
+
+def display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (requests,) = _load(spark, sf_dir, "kyc_requests")
+    out = decide.decide(requests)
+    return out.select("request_id", respond.label(F.lower("document_type")).alias("kind"), respond.tone(F.col("decision")).alias("tone"), F.round(respond.percent(F.col("risk_score")), 6).alias("risk_percent"))
+
+
+def audit_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (log,) = _load(spark, sf_dir, "kyc_audit")
+    return respond.timing(log, "latency_ms", "decision").withColumns({c: F.round(c, 6) for c in ("min_s", "max_s", "mean_s", "p50_s")})
+
+
 _WITH = lambda *names: "WITH " + ", ".join(f"{n} AS ({fixtures.ALL[n]})" for n in names)
 _RISK = """r AS (SELECT *, least(greatest(0.0::DOUBLE, greatest(
    0.35::DOUBLE * CASE WHEN overall = 'NOT_APPLICABLE' THEN 0.0::DOUBLE ELSE 1 - least(greatest(match_score, 0), 1) END + 0.30::DOUBLE * least(greatest(fraud_score, 0), 1) + 0.10::DOUBLE * (1 - least(greatest(ocr_confidence, 0), 1))
@@ -179,7 +195,7 @@ _EMPTY_OR = "coalesce(value, '') = ''"
 _VERHOEFF = "list_reduce(list_prepend(0, range(0, 12)), lambda a, i: CAST(substr({d}, a * 10 + CAST(substr({p}, (i % 8) * 10 + CAST(substr(reverse(n), i + 1, 1) AS INT) + 1, 1) AS INT) + 1, 1) AS INT))"
 _FLAT = {"d": "'" + "".join(str(x) for r in P.VERHOEFF_D for x in r) + "'", "p": "'" + "".join(str(x) for r in P.VERHOEFF_P for x in r) + "'"}
 
-QUERIES = {f.__name__: f for f in (verify, decisions_by_kind, reasoner_gate, line_admission, line_stats, reading_order, confidence_rollup, classify, extract_fields, identifiers, validate_fields, general_documents, key_values, fraud_verdicts, metadata_suspicion, rectify_fields, hallucination, audit_newest, audit_metrics, check_identifiers, fuzzy_names)}
+QUERIES = {f.__name__: f for f in (verify, decisions_by_kind, reasoner_gate, line_admission, line_stats, reading_order, confidence_rollup, classify, extract_fields, identifiers, validate_fields, general_documents, key_values, fraud_verdicts, metadata_suspicion, rectify_fields, hallucination, audit_newest, audit_metrics, check_identifiers, fuzzy_names, run_summary, display, audit_timing)}
 ORACLE_SQL = {
     "verify": f"""{_WITH('kyc_requests')}, {_RISK}
 SELECT request_id, round(risk_score, 10) AS risk_score, risk_band, decision,
@@ -188,6 +204,10 @@ SELECT request_id, round(risk_score, 10) AS risk_score, risk_band, decision,
     WHEN overall = 'PASS' AND risk_band = 'LOW' AND fraud_verdict = 'LIKELY_AUTHENTIC' THEN 'AUTHENTIC' ELSE 'NEEDS_REVIEW' END AS status,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(found, lambda x: split_part(x, '/', 1)))), ','), '') AS categories, len(found)::BIGINT AS n_findings FROM f""",
     "decisions_by_kind": f"{_WITH('kyc_requests')}, {_RISK} SELECT document_type, risk_band, decision, count(*) AS n FROM d GROUP BY ALL",
+    "run_summary": f"{_WITH('kyc_requests')}, {_RISK} SELECT count(*) FILTER (decision = 'APPROVE') AS approve, count(*) FILTER (decision = 'REVIEW') AS review, count(*) FILTER (decision = 'REJECT') AS reject, count(*) AS results FROM d",
+    "display": f"""{_WITH('kyc_requests')}, {_RISK} SELECT request_id, array_to_string(list_transform(string_split(lower(document_type), '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS kind,
+  CASE decision WHEN 'APPROVE' THEN 'success' WHEN 'REJECT' THEN 'danger' ELSE 'warning' END AS tone, round(least(greatest(risk_score * 100, 0::DOUBLE), 100::DOUBLE), 6) AS risk_percent FROM d""",
+    "audit_timing": f"{_WITH('kyc_audit')} SELECT decision, count(latency_ms) AS runs, round(min(latency_ms)::DOUBLE, 6) AS min_s, round(max(latency_ms)::DOUBLE, 6) AS max_s, round(avg(latency_ms), 6) AS mean_s, round(median(latency_ms), 6) AS p50_s FROM kyc_audit GROUP BY 1",
     "reasoner_gate": f"""{_WITH('kyc_requests')} SELECT CASE WHEN fraud_verdict = 'LIKELY_AI' THEN 'hard reject path (fraud LIKELY_AI)' WHEN overall = 'FAIL' THEN 'hard reject path (validation FAIL)'
  WHEN overall = 'PASS' AND fraud_verdict = 'LIKELY_AUTHENTIC' AND ocr_confidence >= 0.85::DOUBLE THEN 'clean approve path (no ambiguity to resolve)' WHEN overall <> 'MISSING' THEN 'no missing required fields' ELSE 'sent' END AS reason, count(*) AS n FROM kyc_requests GROUP BY 1""",
     "line_admission": f"""{_WITH('kyc_lines')}, c AS (SELECT regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([0-9])O([0-9])', '\\10\\2', 'g'), '([0-9])[lI]([0-9])', '\\11\\2', 'g'), '([0-9])B([0-9])', '\\18\\2', 'g') AS c, confidence FROM kyc_lines),
