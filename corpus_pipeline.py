@@ -33,11 +33,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    The mix works on ids and sizes; texts travel once, when each row learns its copies.
+    Rows that are equal in every column are one row then, with the copies of all.
+    """
     ship(spark)
-    weight = mixing.quality_weight(spark.read.parquet(f"{sf_dir}/labels.parquet")).select(F.col("doc_id").alias("_labelled"), F.col("quality_weight").alias("_weight"))
-    mixed = mixing.mix(docs.join(weight, docs["doc_id"] == F.col("_labelled"), "left").drop("_labelled"), F.col("_weight"))
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    weight = mixing.quality_weight(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")]
+    key = ["_row", "_row2"]  # 128 bits tell rows apart
+    marked = docs.withColumn("_row", F.xxhash64(*plain)).withColumn("_row2", F.xxhash64(F.lit("mix"), *plain))
+    copies = mixing.mix(marked, by_id=weight, carry=["doc_id", *key]).groupBy(*key).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    # the join leaves rows dealt out and sorted by key, as the aggregation needs them
+    found = marked.join(copies, key).groupBy(*key).agg(F.first(F.struct(docs.columns)).alias("row"), F.first("_copies").alias("_copies"))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
