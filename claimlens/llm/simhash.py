@@ -58,7 +58,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in slices(batches, "text", 2 << 20):
@@ -83,14 +83,16 @@ def _fingerprints(width: int):
             full = counts > 0
             if full.any():
                 out[full] = _majority(np.array(hashes, np.uint64), counts[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out.view(np.int64))], names=[*keep, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the 64-bit pattern as a signed long, zero without a word or text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(width), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carry..., fp) of every row; carry are longs, fp is the 64-bit pattern as a signed long, zero without a word or text."""
+    keep = ["doc_id", *carry]
+    return docs.select(F.col("doc_id").cast("long"), *carry, "text").mapInArrow(_fingerprints(width, keep), ", ".join(f"{c} long" for c in [*keep, "fp"]))
 
 
 def embedding(fp: Column) -> Column:
@@ -212,6 +214,25 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _rooted(distinct: DataFrame, max_distance: int) -> DataFrame:
+    """distinct(fp, ...) with the root of each fingerprint's component."""
+    label = components(links(distinct.select("fp"), max_distance))
+    return distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def representatives(docs: DataFrame, key: tuple[str, ...], width: int = 3, max_distance: int = 3) -> DataFrame:
+    """(key...) of one row of each component of docs(doc_id, text, key...): that with the smallest doc_id, null last, then the smallest key.
+
+    key are longs that tell rows apart; components are told by their fingerprints, so
+    ids may be null or shared.  Rows with equal keys must have equal texts.
+    """
+    own = fingerprints(docs, width, key)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)
+    distinct = materialize(own.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    least = _rooted(distinct, max_distance).groupBy("root").agg(F.min("first").alias("first"))
+    return least.select([f"first.{k}" for k in key])
+
+
 def simhash_components(docs: DataFrame, width: int = 3, max_distance: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs(doc_id, text).
 
@@ -222,8 +243,7 @@ def simhash_components(docs: DataFrame, width: int = 3, max_distance: int = 3) -
     """
     own = materialize(fingerprints(docs, width), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    label = components(links(distinct.select("fp"), max_distance))
-    rooted = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(distinct, max_distance)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select(

@@ -12,6 +12,12 @@ from claimlens.llm.common import materialize
 from claimlens.session import ship
 
 
+def _marked(docs: DataFrame, salt: str) -> DataFrame:
+    """docs with _row and _row2, 128 bits of hashes that tell rows apart."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")]
+    return docs.withColumn("_row", F.xxhash64(*plain)).withColumn("_row2", F.xxhash64(F.lit(salt), *plain))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without text or letters, or far from all languages, go."""
     ship(spark)
@@ -19,11 +25,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the component's id, of repeated rows one."""
+    """One row of each SimHash component: that with the smallest doc_id, a null one only where there is no other."""
     ship(spark)
-    kept = simhash.simhash_components(docs.select("doc_id", "text")).groupBy("component_id").agg(F.count("*").alias("_size"))
-    stay = docs.join(kept.select(F.col("component_id").alias("doc_id")), "doc_id", "left_semi").select(docs.columns)
-    return stay.groupBy("doc_id").agg(F.min(F.struct(docs.columns)).alias("row")).select("row.*")
+    key = ("_row", "_row2")
+    marked = _marked(docs, "near")
+    kept = simhash.representatives(marked.select("doc_id", "text", *key), key)
+    # rows that are equal in every column have one key
+    return marked.join(kept, list(key)).groupBy(*key).agg(F.first(F.struct(docs.columns)).alias("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +48,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     weight = mixing.quality_weight(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")]
-    key = ["_row", "_row2"]  # 128 bits tell rows apart
-    marked = docs.withColumn("_row", F.xxhash64(*plain)).withColumn("_row2", F.xxhash64(F.lit("mix"), *plain))
+    key = ["_row", "_row2"]
+    marked = _marked(docs, "mix")
     copies = mixing.mix(marked, by_id=weight, carry=["doc_id", *key]).groupBy(*key).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     # the join leaves rows dealt out and sorted by key, as the aggregation needs them
     found = marked.join(copies, key).groupBy(*key).agg(F.first(F.struct(docs.columns)).alias("row"), F.first("_copies").alias("_copies"))

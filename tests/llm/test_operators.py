@@ -281,6 +281,20 @@ def test_pipeline(spark):
     assert p.run(spark, DATA).count() == p.mixture(spark, three, DATA).count() > 0
 
 
+def test_near_duplicates_keep_every_component(spark):
+    """Null and shared ids: each component keeps exactly one row."""
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(5))
+    rows = [(3, a), (7, a), (7, b), (None, c), (None, c), (None, d), (9, d), (5, e), (5, e)]
+    frame = spark.createDataFrame([(*r, {"k": "v"}) for r in rows], "doc_id long, text string, more map<string,string>")
+    got = p.near_duplicates(spark, frame, DATA)
+    assert got.columns == frame.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.where("doc_id is not null").collect()) == sorted([(3, a), (7, b), (9, d), (5, e)])
+    assert [r["text"] for r in got.where("doc_id is null").collect()] == [c]
+
+
 def test_nothing_else_imports_this():
     root = Path(__file__).resolve().parents[2] / "claimlens"
     assert not [f for f in root.rglob("*.py") if "llm" not in f.parts and re.search(r"(from|import) [\w.]*\bllm\b", f.read_text())]
