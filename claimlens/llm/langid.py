@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-One table of ``slots`` words holds the filters of all languages, one bit plane
-each: a slot's word is the set of languages that have an n-gram there.  Two
+One table holds the filters of all languages, one bit plane each: a slot has one
+64-bit word for every 64 languages, the set of those that have an n-gram there.  Two
 probes ANDed give every language that has the n-gram.  A text's n-grams are
 counted per language; what a language would get by chance (its filter's measured
 false-positive rate) is taken off, and the largest corrected count decides.
@@ -10,8 +10,10 @@ Learning takes a bounded, deterministic sample of the labelled rows
 (``train_per_language`` documents of each language in expectation), counts on
 the executors in how many documents each n-gram stands, and keeps per language
 the ``grams_per_language`` most common ones whose share of documents is at least
-``min_share`` of that in the language where they are most common; this model is all that reaches the
-driver, so its size does not grow with the data.
+``min_share`` of that in the language where they are most common.  An n-gram that
+stands in one document only counts in languages of fewer than ``few`` documents,
+which take none from larger ones.  This model is all that reaches the driver; its
+size grows with the number of languages, not with the data.
 """
 
 from __future__ import annotations
@@ -80,7 +82,7 @@ def _probes(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # uint64 of slots
+    table: np.ndarray  # uint64 of words by slots; word w holds languages 64 w to 64 w + 63
     chance: np.ndarray  # of a false positive, by language
 
     def classify(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,11 +93,12 @@ class Model:
         total = np.zeros(n)
         hits = np.zeros((n, many))
         for h, of in _grams(point, owner):
-            a, b = _probes(h, len(self.table))
-            mask = self.table[a] & self.table[b]
+            a, b = _probes(h, self.table.shape[1])
             total += np.bincount(of, minlength=n)
-            for lang in range(many):
-                hits[:, lang] += np.bincount(of[(mask >> np.uint64(lang)) & np.uint64(1) > 0], minlength=n)
+            for word, plane in enumerate(self.table):
+                mask = plane[a] & plane[b]
+                for bit in range(min(64, many - 64 * word)):
+                    hits[:, 64 * word + bit] += np.bincount(of[(mask >> np.uint64(bit)) & np.uint64(1) > 0], minlength=n)
         if not many:
             return np.full(n, -1), np.zeros(n), hits
         corrected = np.maximum(hits - total[:, None] * self.chance, 0) / (1 - self.chance)
@@ -114,46 +117,48 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, train_per_language: int = 2000, grams_per_language: int = 20_000, slots: int = 1 << 21, min_share: float = 0.3, max_languages: int = 64) -> Model:
-    """Learn from text and lang of the rows of docs(doc_id, text, lang) that are not held out.
+def train(docs: DataFrame, train_per_language: int = 2000, grams_per_language: int = 20_000, slots: int = 1 << 21, min_share: float = 0.3, few: int = 10) -> Model:
+    """Learn from text and lang of the rows of docs(doc_id, text, lang) that are not held out, all their languages.
 
-    At most max_languages languages, the most frequent, are learned (a slot has 64 bits).
+    A language whose documents are all held out cannot be learned.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    many = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    many = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(many)
+    words = -(-len(languages) // 64)
+    table = np.zeros((words, slots), np.uint64)
     if not languages:
-        return Model([], np.zeros(slots, np.uint64), np.zeros(0))
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, train_per_language / many[k])))])
+        return Model([], table, np.zeros(0))
+    spark = docs.sparkSession
+    rows = [(k, i, min(1.0, train_per_language / many[k]), float(min(train_per_language, many[k]))) for i, k in enumerate(languages)]
+    kinds = F.broadcast(spark.createDataFrame(rows, "lang string, at int, share double, docs double"))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.where(F.col("lang").isin(languages) & (draw < F.try_element_at(share, F.col("lang")))).select("lang", "text")
+    sample = known.select("lang", "text", draw.alias("draw")).join(kinds, "lang").where("draw < share").select("at", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            names = np.array(batch.column(0).to_pylist(), object)
-            kinds = {k: i for i, k in enumerate(sorted(set(names)))}
-            lang = np.array([kinds[k] for k in names], np.uint64)
+            here, lang = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            lang = lang.astype(np.uint64)
             point, owner = _points([t.decode("utf-8", "replace") for t in texts(batch, "text")])
             for h, of in _grams(point, owner):
                 # once a document, then documents by language; low bits of the hash make room for either
                 pair = np.unique((h & ~_ROOM) | of.astype(np.uint64))
                 both, n = np.unique((pair & ~_ROOM) | lang[(pair & _ROOM).astype(np.int64)], return_counts=True)
-                spelled = np.array(sorted(kinds), object)[(both & _ROOM).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.string()), pa.array((both & ~_ROOM).view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-
-    grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # an n-gram is a language's if it is about as common there as anywhere; one in a single document is a chance word
-    docs_of = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(float(min(train_per_language, many[k]))))])
-    rated = grams.where("n > 1").withColumn("rate", F.col("n") / F.element_at(docs_of, F.col("lang")))
-    own = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= min_share * F.col("most"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    best = own.withColumn("rank", rank).where(F.col("rank") <= grams_per_language).select("lang", "gram").toPandas()
-    table = np.zeros(slots, np.uint64)
-    at = {k: i for i, k in enumerate(languages)}
-    bits = np.uint64(1) << np.array([at[k] for k in best["lang"]], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(here[(both & _ROOM).astype(np.int64)]), pa.array((both & ~_ROOM).view(np.int64)), pa.array(n.astype(np.int64))], names=["at", "gram", "n"])
+
+    grams = sample.mapInArrow(count, "at int, gram long, n long").groupBy("at", "gram").agg(F.sum("n").alias("n"))
+    # an n-gram is a language's if it is about as common there as anywhere; one in a single document is a chance word where there are many
+    rated = grams.join(kinds, "at").where((F.col("n") > 1) | (F.col("docs") < few)).select("at", "gram", "n", (F.col("docs") < few).alias("small"), (F.col("n") / F.col("docs")).alias("rate"))
+    same = Window.partitionBy("gram")
+    most = F.when(F.col("small"), F.max("rate").over(same)).otherwise(F.max(F.when(~F.col("small"), F.col("rate"))).over(same))
+    own = rated.withColumn("most", most).where(F.col("rate") >= min_share * F.col("most"))
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), "gram"))
+    best = own.withColumn("rank", rank).where(F.col("rank") <= grams_per_language).select("at", "gram").toPandas()
+    at = best["at"].to_numpy(np.int64)
+    bits = np.uint64(1) << (at % 64).astype(np.uint64)
     for place in _probes(best["gram"].to_numpy(np.int64).view(np.uint64), slots):
-        np.bitwise_or.at(table, place, bits)
-    fill = np.array([((table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))])
+        np.bitwise_or.at(table, (at // 64, place), bits)
+    fill = np.array([((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, table, fill**2)
 
 

@@ -281,6 +281,27 @@ def test_pipeline(spark):
     assert p.run(spark, DATA).count() == p.mixture(spark, three, DATA).count() > 0
 
 
+def test_every_language_is_learned(spark):
+    """More languages than a word has bits, and one with a single document to learn from."""
+    rng = random.Random(9)
+    rows, n = [], 0
+    out = {n for (n,) in spark.range(2000).where(langid.held_out(F.col("id"))).collect()}
+    for lang in range(130):
+        words = ["".join(chr(0x4E00 + 40 * lang + rng.randrange(40)) for _ in range(3)) for _ in range(12)]
+        for _ in range(12 if lang < 129 else 1):
+            while lang == 129 and n in out:
+                n += 1
+            rows.append((n, " ".join(rng.choice(words) for _ in range(30)), f"l{lang:03}"))
+            n += 1
+    text = next(t for _, t, k in rows if k == "l129")
+    rows.append((next(x for x in range(n, 2000) if x in out), text, "l129"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, slots=1 << 18)
+    assert len(model.languages) == 130 and model.table.shape == (3, 1 << 18)
+    told = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert all(told[i] == k for i, _, k in rows)
+
+
 def test_near_duplicates_keep_every_component(spark):
     """Null and shared ids: each component keeps exactly one row."""
     import corpus_pipeline as p
