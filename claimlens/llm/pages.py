@@ -30,6 +30,9 @@ from .common import slices, texts
 TRAIN_PAGES = 700
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select button".split())
+#: Of these, those that without an end tag lose the start tag only, and those that may hold one another.
+OPEN = frozenset("select button svg template noscript".split())
+NESTED = frozenset(("svg", "template"))
 #: Elements that are part of a block's text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Open elements that a start tag ends: itself by itself, a paragraph by any block.
@@ -46,32 +49,84 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"']+/\Z")
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
+@lru_cache
+def _tags(name: str) -> re.Pattern:
+    """Start and end tags of name, and what may hold tags that are none."""
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)(?=[\s/>]).*?(?:</(?P=raw)\b|\Z)|</(?P<end>{name})(?=[\s/>])[^>]*(?:>|\Z)"
+        rf"|<(?P<start>{name})(?=[\s/>])(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<odd>{name})(?=[\s/>])(?P<rest>[^>]*)>",
+        re.S | re.I,
+    )
+
+
+def _self_closed(name: str, attrs: str) -> bool:
+    return name == "svg" and attrs.endswith("/") and not _UNQUOTED.search(attrs)
+
+
+def _ends(name: str, source: str) -> dict[int, int]:
+    """Where each closed element of name in source starts, and the place after its own end tag."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in _tags(name).finditer(source):
+        if m["end"]:
+            if open_:
+                out[open_.pop()] = m.end()
+        elif m["start"] or m["odd"]:
+            if not _self_closed(name, m["attrs"] or m["rest"] or ""):
+                if name not in NESTED:
+                    open_.clear()  # a start tag ends an open one
+                open_.append(m.start())
+    return out
+
+
 class Page:
-    """The block elements of a page in page order, and its text in pieces between block edges."""
+    """The block elements of a page in page order, and its text in pieces between block edges.
+
+    Text outside of all elements belongs to the body, an implied one where the page has none.
+    """
 
     def __init__(self, source: str) -> None:
         self.tag, self.attrs, self.parent, self.depth = ["#root"], [""], [-1], [0]
         self.own, self.link, self.marks = [0], [0], [0]  # characters of text, of linked text, inline tags
         self.pieces: list[tuple[int, str]] = []
-        self._read(source)
+        self._read(source.removeprefix("\ufeff"))
 
     def _read(self, source: str) -> None:
         stack, names = [0], ["#root"]
         at, size = 0, len(source)
         held: list[str] = []
         linked, anchors = 0, 0
+        ends: dict[str, dict[int, int]] = {}
+        body = implied = 0
+
+        def enter(name: str, attrs: str) -> None:
+            self.tag.append(name)
+            self.attrs.append(attrs)
+            self.parent.append(stack[-1])
+            self.depth.append(len(stack))
+            self.own.append(0)
+            self.link.append(0)
+            self.marks.append(0)
+            stack.append(len(self.tag) - 1)
+            names.append(name)
 
         def close() -> None:
-            nonlocal linked
+            nonlocal linked, body, implied
             if held:
                 text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
                 if text:
-                    self.pieces.append((stack[-1], text))
-                    self.own[stack[-1]] += len(text)
-                    self.link[stack[-1]] += min(linked, len(text))
+                    of = stack[-1] or body
+                    if not of:
+                        enter("body", "")
+                        of = body = implied = stack[-1]
+                        self.marks[of], self.marks[0] = self.marks[0], 0
+                    self.pieces.append((of, text))
+                    self.own[of] += len(text)
+                    self.link[of] += min(linked, len(text))
                 held.clear()
             linked = 0
 
@@ -98,8 +153,14 @@ class Page:
                 name = name.lower()
                 attrs = m["attrs"] if m["start"] else m["rest"]
                 if name in RAW:
+                    if name in OPEN:
+                        if not _self_closed(name, attrs):
+                            if name not in ends:
+                                ends[name] = _ends(name, source)
+                            at = ends[name].get(m.start(), at)
+                        continue
                     end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                    if name in ("script", "style", "title", "textarea", "select", "button", "svg", "template", "noscript", "iframe") or end:
+                    if name in ("script", "style", "title", "textarea", "iframe") or end:
                         at = end.end() if end else size
                     continue
                 if name in INLINE:
@@ -109,6 +170,9 @@ class Page:
                     anchors += name == "a"
                     continue
                 close()
+                if implied and name in ("html", "body") and stack == [0, implied]:
+                    pop_to(1)
+                    body = 0
                 for k in range(len(names) - 1, 0, -1):
                     if names[k] == "p" or names[k] in ENDS.get(name, ()):
                         pop_to(k)
@@ -118,15 +182,9 @@ class Page:
                 anchors = 0
                 if name in VOID:
                     continue
-                self.tag.append(name)
-                self.attrs.append(" ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)).lower() if attrs else "")
-                self.parent.append(stack[-1])
-                self.depth.append(len(stack))
-                self.own.append(0)
-                self.link.append(0)
-                self.marks.append(0)
-                stack.append(len(self.tag) - 1)
-                names.append(name)
+                enter(name, " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)).lower() if attrs else "")
+                if name == "body" and not body:
+                    body = stack[-1]
             elif m["end"] is not None:
                 name = m["end"].lower()
                 if name == "a":

@@ -78,6 +78,26 @@ def test_main_text(spark):
     assert pages.main_text(frame).count() == 5 and pages.main_text(empty(frame)).count() == 0
 
 
+def test_main_text_without_body():
+    """Text outside of all blocks, alone, before, between and after them."""
+    forest = pages.model()
+    long = "This is a plain page with a few words in it, more than a line of them, and nothing else at all."
+    assert pages.extract([long, "<b>Hello</b> world", f"{long}<p>{long}</p>{long}", f"<html><body><p>{long}</p></body></html>{long}", "\ufeff"], forest) == [long, "Hello world", f"{long}\n{long}\n{long}", f"{long}\n{long}", ""]
+    assert pages.extract([f"{long}<html><body><article><p>{long}</p></article></body></html>"], forest) == [f"{long}\n{long}"]
+
+
+def test_main_text_after_unclosed_elements():
+    forest = pages.model()
+    one, two = "The first words of the story stand here and go on a while.", "And the second part of it stands here, below the first one."
+    page = "<html><body><article><h1>A title of it</h1><p>{}</p>{}<p>{}</p></article></body></html>"
+    for inner in ("<button>", "<select>", "<template>", "<noscript>", "<svg>", '<svg width="1"/>', "<svg/>", "<button/>"):
+        assert pages.extract([page.format(one, inner, two)], forest) == [f"A title of it\n{one}\n{two}"], inner
+        name = inner.strip("</>").split()[0]
+        assert pages.extract([page.format(one, inner, f"{two}<{name}>gone</{name}>")], forest) == [f"A title of it\n{one}\n{two}"], inner
+    for inner in ("<svg><svg>x</svg>gone</svg>", "<svg><!-- <svg> --><svg/>gone</svg>", "<svg width=1/>gone</svg>", "<template><template>x</template>gone</template>", "<button>gone</button>"):
+        assert pages.extract([page.format(one, inner, two)], forest) == [f"A title of it\n{one}\n{two}"], inner
+
+
 def test_main_text_on_new_pages():
     """Pages that the trees were not trained on."""
     forest, draw, right, total = pages.model(), pages._Draw(991), 0, 0
