@@ -276,6 +276,19 @@ def test_licenses(spark, docs, odd):
     assert license_scan.scan(odd).count() == len(ODD)
 
 
+def test_full_licenses(spark):
+    """Whole texts of long licences, with and without their appendix, in other case and indentation."""
+    full = ["Apache-2.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    rows = [(k, "\n".join(" * " + x.strip().upper() for x in license_scan.LICENSES[k].split("\n"))) for k in full]
+    rows += [(f"{k}-body", license_scan.LICENSES[k].split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n") for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1")]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {i: k for i, (k, _) in enumerate(rows)}
+    c = duckdb.connect()
+    c.register("documents", spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").toPandas())
+    want = {(r.doc_id, r.license_digest, r.license_id) for r in c.sql(license_scan.oracle_sql()).df().itertuples()}
+    assert want == {tuple(r) for r in got}
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
