@@ -29,7 +29,7 @@ from . import induced
 from .common import materialize, slices, texts
 
 ANCHOR = 64
-#: Bytes of extents that one sort takes, unless a single minimizer has more.
+#: Bytes of extents that a shard takes, unless a single minimizer has more, and of bodies that one sort takes.
 SHARD_BYTES = 4 << 20
 #: Window starts that are judged together.
 STRIDE = 48
@@ -167,42 +167,64 @@ def repeated_windows(bodies: list[bytes], length: int, memory: int = induced.MEM
     return [np.flatnonzero(hit[a : b - length + 1]) for a, b in zip(start.tolist(), stop.tolist())]
 
 
-def judge(rows: list[tuple[int, int, bytes]], length: int, anchor: int = ANCHOR, memory: int = induced.MEMORY_ENTRIES) -> list[np.ndarray]:
+def judge(rows: list[tuple[int, int, bytes]], length: int, anchor: int = ANCHOR, memory: int = induced.MEMORY_ENTRIES, room: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each extent (minimizer's hash, its place in the body, body) the starts of windows that stand in another extent too.
 
     Extents of one minimizer differ.  Starts are cut into groups by their distance from
     the minimizer; all windows of a group hold one core, and equal windows one core.
+    A sort takes the bodies of whole cores, room bytes at most: a core that has more is
+    cut into finer groups, down to single windows, which need no sort.
     """
     digest = xxhash.xxh3_128_digest
     span = length - anchor
-    cores: dict[tuple, list[tuple[int, int, int]]] = {}
-    for k, (mh, mid, body) in enumerate(rows):
-        last = len(body) - length
-        for g in range((mid - last) // STRIDE, mid // STRIDE + 1):
-            near, far = g * STRIDE, min(g * STRIDE + STRIDE - 1, span)
-            a, b = max(0, mid - far), min(last, mid - near)
-            cores.setdefault((mh, g, digest(body[mid - near : mid - far + length])), []).append((k, a, b))
     hits: list[list[np.ndarray]] = [[] for _ in rows]
     bodies: list[bytes] = []
     stand: list[list[tuple[int, int]]] = []  # the extents and places that each body stands for
-    for places in cores.values():
-        if len(places) < 2:
-            continue
-        kinds: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        for k, a, b in places:
-            kinds.setdefault((rows[k][1] - a, rows[k][2][a : b + length]), []).append((k, a))
-        for (_, body), at in kinds.items():
-            if len(at) > 1:  # the same bytes in several extents: all their windows stand twice
-                for k, a in at:
-                    hits[k].append(a + np.arange(len(body) - length + 1))
-        if len(kinds) > 1:
-            bodies += [body for _, body in kinds]
-            stand += kinds.values()
-    if bodies:
-        for at, found in zip(stand, repeated_windows(bodies, length, memory)):
-            if len(found):
-                for k, a in at:
-                    hits[k].append(a + found)
+    held = 0
+
+    def flush() -> None:
+        nonlocal held
+        if bodies:
+            for at, found in zip(stand, repeated_windows(bodies, length, memory)):
+                if len(found):
+                    for k, a in at:
+                        hits[k].append(a + found)
+        bodies.clear()
+        stand.clear()
+        held = 0
+
+    def cut(ranges: list[tuple[int, int, int]], stride: int) -> None:
+        nonlocal held
+        cores: dict[tuple, list[tuple[int, int, int]]] = {}
+        for k, first, last in ranges:
+            mh, mid, body = rows[k]
+            for g in range((mid - last) // stride, (mid - first) // stride + 1):
+                near, far = g * stride, min(g * stride + stride - 1, span)
+                a, b = max(first, mid - far), min(last, mid - near)
+                cores.setdefault((mh, g, digest(body[mid - near : mid - far + length])), []).append((k, a, b))
+        for places in cores.values():
+            if len(places) < 2:
+                continue
+            kinds: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            for k, a, b in places:
+                kinds.setdefault((rows[k][1] - a, rows[k][2][a : b + length]), []).append((k, a))
+            size = sum(len(body) for _, body in kinds)
+            if len(kinds) > 1 and size > room and stride > 1:
+                cut(places, max(1, stride // 6))
+                continue
+            for (_, body), at in kinds.items():
+                if len(at) > 1:  # the same bytes in several extents: all their windows stand twice
+                    for k, a in at:
+                        hits[k].append(a + np.arange(len(body) - length + 1))
+            if len(kinds) > 1 and stride > 1:
+                if held + size > room:
+                    flush()
+                bodies.extend(body for _, body in kinds)
+                stand.extend(kinds.values())
+                held += size
+
+    cut([(k, 0, len(body) - length) for k, (_, _, body) in enumerate(rows)], STRIDE)
+    flush()
     none = np.empty(0, np.int64)
     return [np.unique(np.concatenate(h)) if h else none for h in hits]
 

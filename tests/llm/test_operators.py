@@ -194,6 +194,27 @@ def test_suffix_dedup(spark, docs, odd):
     assert suffix_dedup.without_repeats(odd).columns == odd.columns
 
 
+def test_suffix_sorts_are_bounded(monkeypatch):
+    """A hot minimizer's cores are sorted in parts, a hot core is cut finer; hits are those of plain counting."""
+    rng = random.Random(12)
+    word = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    line, left, right = word(64), word(336), word(336)
+    made = set()
+    while len(made) < 120:
+        x, y = rng.choice([0, 5, 100, 300, 336]), rng.choice([0, 7, 60, 300, 336])
+        made.add(word(336 - x) + left[336 - x :] + line + right[:y] + word(336 - y))
+    rows = [(1, 336, body) for body in sorted(made)]
+    count = Counter(body[i : i + 400] for _, _, body in rows for i in range(len(body) - 399))
+    want = [[i for i in range(len(body) - 399) if count[body[i : i + 400]] > 1] for _, _, body in rows]
+    sizes, sort = [], suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda bodies, *a: sizes.append(sum(map(len, bodies))) or sort(bodies, *a))
+    for room in (4 << 20, 6000, 2000, 500):
+        sizes.clear()
+        assert [x.tolist() for x in suffix_dedup.judge(rows, 400, room=room)] == want
+        assert max(sizes, default=0) <= room
+    assert sum(map(len, want)) > 1000
+
+
 def test_simhash(docs, odd):
     for frame in (docs, odd):
         rows = local(frame)
