@@ -2,9 +2,9 @@
 
 A spot is a common word (the anchor) and the chain of the next ``chain`` content
 words after it.  In a run of anchors the last one counts.  A fingerprint is the
-sorted set of 32-bit digests of a text's spots; fingerprints are compared by
-Jaccard similarity, pruned by set size: sizes whose ratio is below the threshold
-cannot reach it.
+sorted set of 32-bit digests of a text's spots; pairs of fingerprints are compared by
+Jaccard similarity.  With a threshold, which the query does not give, sizes whose
+ratio is below it are not compared.  There is no join over all signatures.
 """
 
 from __future__ import annotations
