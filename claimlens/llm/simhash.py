@@ -1,12 +1,16 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments.
-The Manhattan distance of two such vectors never exceeds the Hamming distance
-of the fingerprints, so a range join under it loses no link.  The vectors are
-cut into ``max_distance + 3`` blocks; two vectors within ``max_distance`` agree
-on at least three of them, which names a grid cell that both lie in.  Inside a
-cell the candidates are ordered by their total bit count (the coarsest
-Manhattan bound), and the survivors are verified on the fingerprints.
+A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments, each
+written as a run of ones (0, 1 or 2 of them), so that the Manhattan distance of two
+vectors is the number of bits in which their codes differ.  It never exceeds the
+Hamming distance of the fingerprints, so a range join under it loses no link.
+
+The join is a grid: the vector is cut into ``blocks`` blocks of segments, two vectors
+within ``max_distance`` agree on all but that many of them, and each choice of such
+blocks names a cell that both lie in.  Cells grow finer with the number of
+fingerprints, and a cell that is still large is cut again by the segments that it
+leaves open.  Inside a cell, candidates are those within ``max_distance`` under the
+Manhattan distance; they are verified on the fingerprints.
 
 A cell never emits its pairs: it emits one link per fingerprint, along a
 spanning forest, so rows stay linear where thousands of near copies meet.
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts
+from .common import discard, lean, materialize, slices, texts
 
 SEED = 42
 SEGMENTS = 32
@@ -59,6 +63,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(width: int, keep: list[str]):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in slices(batches, "text", 2 << 20):
@@ -96,50 +101,83 @@ def fingerprints(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -
 
 
 def embedding(fp: Column) -> Column:
-    """The 32 segment counts, two bits each, packed in one long."""
+    """The 32 segment counts, each as a run of ones in its two bits: their Manhattan distance is the bits that differ."""
     even = F.lit(0x5555555555555555)
     high = F.shiftrightunsigned(fp, 1)
-    one, two = fp.bitwiseXOR(high).bitwiseAND(even), fp.bitwiseAND(high).bitwiseAND(even)
-    return one.bitwiseOR(F.shiftleft(two, 1))  # a lane's sum without a carry, so no ANSI overflow
+    some, both = fp.bitwiseOR(high).bitwiseAND(even), fp.bitwiseAND(high).bitwiseAND(even)
+    return some.bitwiseOR(F.shiftleft(both, 1))  # a lane's sum without a carry, so no ANSI overflow
 
 
-def cell_masks(max_distance: int = 3) -> list[int]:
-    """For each choice of three agreeing blocks, the packed segments that they hold, as signed longs."""
-    n = max_distance + 3
-    edge = [SEGMENTS * b // n for b in range(n + 1)]
-    block = [sum(3 << 2 * s for s in range(edge[b], edge[b + 1])) for b in range(n)]
-    masks = [a | b | c for a, b, c in combinations(block, 3)]
+def _codes(fps: np.ndarray) -> np.ndarray:
+    """embedding() of an array."""
+    even, one = np.uint64(0x5555555555555555), np.uint64(1)
+    high = fps >> one
+    return ((fps | high) & even) | ((fps & high & even) << one)
+
+
+def _masks(segments: list[int], blocks: int, agree: int) -> list[int]:
+    """For each choice of agree blocks, of the blocks that segments are cut into, the bits of their codes, as a signed long."""
+    edge = [len(segments) * b // blocks for b in range(blocks + 1)]
+    block = [sum(3 << 2 * s for s in segments[edge[b] : edge[b + 1]]) for b in range(blocks)]
+    masks = [sum(c) for c in combinations(block, agree)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def cell_masks(max_distance: int = 3, blocks: int | None = None) -> list[int]:
+    """The bits that name the cells of each grid: of blocks blocks all but max_distance agree."""
+    blocks = blocks or max_distance + 3
+    return _masks(list(range(SEGMENTS)), blocks, blocks - max_distance)
+
+
+def finer_masks(mask: int, max_distance: int = 3) -> list[int]:
+    """The bits that name the parts of a cell of mask: blocks of the segments that it leaves open, of which all but max_distance agree.
+
+    Vectors of one cell that are within max_distance differ in open segments only, so they meet in a part.
+    """
+    left = [s for s in range(SEGMENTS) if not mask >> 2 * s & 3]
+    blocks = min(max_distance + 2, len(left))
+    return _masks(left, blocks, blocks - max_distance) if blocks > max_distance else [0]
+
+
+def blocks_for(fingerprints: int, max_distance: int = 3, room: int = 64) -> int:
+    """How many blocks name cells of about room fingerprints each: a segment's count tells 1.5 bits."""
+    blocks = max_distance + 3
+    while blocks < SEGMENTS // 2 and fingerprints > room * 2 ** (1.5 * SEGMENTS * (blocks - max_distance) / blocks):
+        blocks += 1
+    return blocks
+
+
 def _forest(fps: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join those of one cell which are connected through it; fps are distinct.
 
     A search from each fingerprint not yet reached compares the frontier with the
-    unreached only, within max_distance of the total bit count.
+    unreached only: by total bit count, then under the Manhattan distance of the
+    vectors, then exactly.
     """
     total = np.bitwise_count(fps).astype(np.int64)
     order = np.argsort(total, kind="stable")
     rest, weight = fps[order], total[order]
+    codes = _codes(rest)
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
     while len(rest) > 1:
         root = rest[0]
-        frontier, rest, weight = [rest[:1]], rest[1:], weight[1:]
+        frontier, rest, weight, codes = [rest[:1]], rest[1:], weight[1:], codes[1:]
         while frontier and len(rest):
             now = frontier.pop()
-            for x in now:
+            for x, code in zip(now, _codes(now)):
                 ones = int(np.bitwise_count(x))
                 lo, hi = np.searchsorted(weight, [ones - max_distance, ones + max_distance + 1])
-                near = np.bitwise_count(rest[lo:hi] ^ x) <= max_distance
-                if near.any():
-                    found = rest[lo:hi][near]
+                at = lo + np.flatnonzero(np.bitwise_count(codes[lo:hi] ^ code) <= max_distance)
+                at = at[np.bitwise_count(rest[at] ^ x) <= max_distance]
+                if len(at):
+                    found = rest[at]
                     a.append(np.full(len(found), root))
                     b.append(found)
                     frontier.append(found)
                     stay = np.ones(len(rest), bool)
-                    stay[lo:hi] = ~near
-                    rest, weight = rest[stay], weight[stay]
+                    stay[at] = False
+                    rest, weight, codes = rest[stay], weight[stay], codes[stay]
                     if not len(rest):
                         break
     if not a:
@@ -148,6 +186,7 @@ def _forest(fps: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _links(max_distance: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the last cell, which the next batch may continue
 
@@ -183,13 +222,25 @@ def _links(max_distance: int):
     return run
 
 
-def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
-    """(u, v): a spanning set of the links among distinct fingerprints fps(fp)."""
+def links(fps: DataFrame, max_distance: int = 3, large: int = 8192, blocks: int | None = None) -> DataFrame:
+    """(u, v): a spanning set of the links among distinct fingerprints fps(fp).
+
+    Cells of more than large fingerprints are cut into parts, each of them a row's
+    own copy, so no cell is one task's work.
+    """
     vector = embedding(F.col("fp"))
-    masks = cell_masks(max_distance)
+    masks = cell_masks(max_distance, blocks or blocks_for(fps.count(), max_distance))
     cells = fps.select("fp", F.posexplode(F.array(*[vector.bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"))
-    dealt = cells.select(F.col("grid").cast("long").alias("grid"), "cell", "fp").repartition("grid", "cell")
-    return dealt.sortWithinPartitions("grid", "cell").mapInArrow(_links(max_distance), "u long, v long").distinct()
+    # written first, so that its size is known where the join is planned: few are broadcast, many dealt out
+    hot = materialize(cells.groupBy("grid", "cell").count().where(F.col("count") > large).select("grid", "cell", F.lit(True).alias("hot")), "cells")
+    told = cells.join(hot, ["grid", "cell"], "left")
+    finer = F.array(*[F.array(*map(F.lit, finer_masks(m, max_distance))) for m in masks])
+    open_ = F.element_at(finer, F.col("grid") + 1)
+    part = F.when(F.col("hot"), F.transform(open_, lambda m: F.struct(m.alias("kind"), vector.bitwiseAND(m).alias("part")))).otherwise(
+        F.array(F.struct(F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("part")))
+    )
+    dealt = told.select("grid", "cell", "fp", F.explode(part).alias("p")).select(F.xxhash64("grid", "p.kind").alias("grid"), F.col("cell").bitwiseOR(F.col("p.part")).alias("cell"), "fp")
+    return dealt.repartition("grid", "cell").sortWithinPartitions("grid", "cell").mapInArrow(_links(max_distance), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,11 +258,13 @@ def components(edges: DataFrame) -> DataFrame:
         step = label.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("far"))
         step = step.join(jump, "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root"), "was")
-        step = materialize(step, "labels")
+        last, step = label, materialize(step, "labels")
         changed = step.where(F.col("root") != F.col("was")).limit(1).count()
-        label = step.select("node", "root")
+        discard(last)
         if not changed:
-            return label
+            discard(both)
+            return step.select("node", "root")
+        label = step
 
 
 def _rooted(distinct: DataFrame, max_distance: int) -> DataFrame:
