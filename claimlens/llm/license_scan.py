@@ -7,6 +7,8 @@ of known licences, which went through the same expression.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,24 +56,43 @@ SPELLINGS = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form: copyright lines dropped, lower case, runs of other than letters and digits as one space, equivalent spellings alike; null as empty."""
-    lines = F.regexp_replace(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), "(?i)\\n[ \\t*#/>-]*(?:copyright|\\(c\\)|©)[^\\n]*", "\n")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(lines), "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
+#: A line that is a copyright notice: the word or sign, then a year or a place for one, or the sign "(c)" and a holder.
+_MARK, _YEAR = "(?:\\(c\\)|©)", "(?:[0-9]{4}|[<\\[{(](?:yyyy|years?)[>\\]})])"
+NOTICE = f"\\n[ \\t*#/>;-]*(?:copyright[ \\t]+{_YEAR}|copyright[ \\t]*{_MARK}|{_MARK}[ \\t]*(?:copyright|{_YEAR}))[^\\n]*"
+
+
+def own_notices(licenses: dict[str, str]) -> str:
+    """A pattern of the copyright notices inside the known texts, which matches them however the lines break."""
+    found = {tuple(re.findall(r"[^\W_]+", line.lower())) for text in licenses.values() for line in re.findall(f"(?i){NOTICE}", "\n" + text)}
+    return "(?i)" + "|".join("[^\\p{L}\\p{N}]+".join(words) for words in sorted(found, key=lambda w: (-len(w), w)))
+
+
+def canonical(text: Column, notices: str | None = None) -> Column:
+    """The canonical form: copyright notices dropped, lower case, runs of other than letters and digits as one space, equivalent spellings alike; null as empty.
+
+    A line is a notice if the word or sign stands first in it and a year, a place for
+    one or the sign follows; notices of the known texts go wherever lines break.
+    """
+    out = F.concat(F.lit("\n"), F.coalesce(text, F.lit("")))
+    cut = F.regexp_replace(F.regexp_replace(out, notices or own_notices(LICENSES), " "), f"(?i){NOTICE}", "\n")
+    # most texts hold no notice, and a look for the words is cheaper than the patterns
+    out = F.lower(F.when(F.lower(out).rlike("copyright|\\(c\\)|©"), cut).otherwise(out))
+    # a word has a space of its own on either side, so that neighbours are both replaced
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, "[^\\p{L}\\p{N}]+", "  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+def digest(text: Column, notices: str | None = None) -> Column:
+    return F.sha2(canonical(text, notices).cast("binary"), 256)
 
 
 def known(spark: SparkSession, licenses: dict[str, str] | None = None) -> DataFrame:
     """(license_digest, license_id) of the known texts; of texts with one canonical form the first id."""
     rows = sorted((licenses or LICENSES).items())
     table = spark.createDataFrame(rows, "license_id string, text string")
-    return table.groupBy(digest(F.col("text")).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+    return table.groupBy(digest(F.col("text"), own_notices(dict(rows))).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, licenses: dict[str, str] | None = None) -> DataFrame:
@@ -81,7 +102,8 @@ def scan(docs: DataFrame, licenses: dict[str, str] | None = None) -> DataFrame:
     null ids stay; other columns are ignored.  The known texts are a parameter of the
     program (not data), and broadcast.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("license_digest"))
+    notices = own_notices(licenses or LICENSES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text"), notices).alias("license_digest"))
     return rows.join(F.broadcast(known(docs.sparkSession, licenses)), "license_digest", "left").select("doc_id", "license_digest", "license_id")
 
 
@@ -89,17 +111,20 @@ def _sql_literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def oracle_sql(licenses: dict[str, str] | None = None) -> str:
+def oracle_sql(licenses: dict[str, str] | None = None, documents: str = "documents") -> str:
+    notices = _sql_literal(own_notices(licenses or LICENSES))
+
     def form(x: str) -> str:
-        out = f"regexp_replace(chr(10) || coalesce({x}, ''), '(?i)\\n[ \\t*#/>-]*(?:copyright|\\(c\\)|©)[^\\n]*', chr(10), 'g')"
-        out = f"' ' || trim(regexp_replace(lower({out}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+        out = f"regexp_replace(chr(10) || coalesce({x}, ''), {notices}, ' ', 'g')"
+        out = f"lower(regexp_replace({out}, {_sql_literal('(?i)' + NOTICE)}, chr(10), 'g'))"
+        out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
         for a, b in SPELLINGS:
-            out = f"replace({out}, ' {a} ', ' {b} ')"
-        return f"sha256(trim({out}))"
+            out = f"replace({out}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"sha256(trim(replace({out}, '  ', ' ')))"
 
     values = ", ".join(f"({_sql_literal(k)}, {_sql_literal(v)})" for k, v in sorted((licenses or LICENSES).items()))
     return f"""
 WITH k AS (SELECT {form('t')} AS license_digest, min(id) AS license_id FROM (VALUES {values}) v(id, t) GROUP BY 1),
-d AS (SELECT doc_id, {form('text')} AS license_digest FROM documents)
+d AS (SELECT doc_id, {form('text')} AS license_digest FROM {documents})
 SELECT doc_id, license_digest, license_id FROM d LEFT JOIN k USING (license_digest)
 """
