@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import lean, materialize, shared_path
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,18 +44,39 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat_ws(END, F.lit("WARC/1.1"), *lines, F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")), F.lit(""), block)
 
 
+def _numbered(rows: DataFrame, run: int = 1000) -> DataFrame:
+    """rows with row: 0, 1, ... among rows that are equal throughout.
+
+    Such rows are counted by what is small of them and come back as copies of one,
+    run at a time, so that many of them are many tasks' work.
+    """
+    same = ["page_id", "url", "digest", "bytes"]
+    null_id = F.col("page_id").isNull().alias("none")
+    id_ = F.coalesce("page_id", F.lit(0)).alias("page_id")
+    plain = rows.withColumns({"none": F.col("page_id").isNull(), "page_id": F.coalesce("page_id", F.lit(0).cast("long"))})
+    key = [*same, "none"]
+    again = materialize(rows.select(id_, "url", "digest", "bytes", null_id).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "again")
+    once = plain.join(again, key, "left_anti").withColumn("row", F.lit(0).cast("long"))
+    runs = plain.join(again, key).groupBy(*key, "n").agg(F.min("html").alias("html")).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(run).cast("long"))))
+    copies = runs.repartition(*key, "from").withColumn("row", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + run, F.col("n")) - 1)))
+    both = once.select(*key, "html", "row").unionByName(copies.select(*key, "html", "row"))
+    return both.select(F.when(~F.col("none"), F.col("page_id")).alias("page_id"), "url", "html", "digest", "bytes", "row")
+
+
 def plan_captures(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """pages(page_id, url, html) with digest, bytes, row and winner: the response that a revisit refers to, null for a response.
 
     Of rows with equal payloads of min_bytes or more the largest page_id is the
     response; among repeated rows of that id the greatest url, then the last row.
+    row numbers rows that are equal throughout, so it is the same whenever a lost
+    part is computed again.
     """
     body = F.coalesce("html", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), body.alias("html"),
         F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("long").alias("bytes"),
-        F.monotonically_increasing_id().alias("row"),
     )
+    rows = _numbered(rows)
     groups = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max(F.struct(F.col("page_id"), F.col("url"), F.col("row"))).alias("winner"))
     # written first, so that its size is known where the join is planned: small is broadcast, large is dealt out and split where it is skewed
     repeated = materialize(groups.where("n > 1").drop("n"), "repeated")
@@ -71,7 +92,7 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     captures of their own.
     """
     rows = plan_captures(pages, min_bytes)
-    own = _urn(F.lit("response"), F.col("page_id"), F.col("digest"), F.col("row"))
+    own = _urn(F.lit("response"), F.col("page_id"), F.col("url"), F.col("digest"), F.col("row"))
     target = F.when(F.col("url") != "", F.col("url"))
     revisit = F.col("winner").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("bytes").cast("string"), F.lit(END + END))
@@ -84,7 +105,7 @@ def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         [
             ("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", own), ("WARC-Target-URI", target), ("WARC-Date", F.lit(date)),
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-            ("WARC-Refers-To", F.when(revisit, _urn(F.lit("response"), F.col("winner.page_id"), F.col("digest"), F.col("winner.row")))),
+            ("WARC-Refers-To", F.when(revisit, _urn(F.lit("response"), F.col("winner.page_id"), F.col("winner.url"), F.col("digest"), F.col("winner.row")))),
             ("WARC-Profile", F.when(revisit, F.lit(PROFILE))), ("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.when(revisit, http).otherwise(F.concat(http, F.col("html"))),
@@ -140,6 +161,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     names = [c.strip().split(" ")[0] for c in RECORD.split(", ")]
     kinds = {"payload_bytes": pa.int64(), "payload": pa.binary(), "fields": pa.map_(pa.string(), pa.string())}
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
