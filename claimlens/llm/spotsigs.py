@@ -78,33 +78,57 @@ def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
     return F.when(small < threshold * large, 0.0).otherwise(F.when(compared >= threshold, compared).otherwise(0.0))
 
 
-def with_next(docs: DataFrame, carry: tuple[str, ...] = (), extra: Callable[[DataFrame], DataFrame] | None = None, parts: int | None = None) -> DataFrame:
-    """docs(doc_id, text, carry...) with next, the text and carry of the next row by ascending doc_id, after the last the first's.
+#: Bytes of text that one range of ids holds, about.
+RANGE_BYTES = 32 << 20
+
+
+def _ranges(keyed: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Edges that cut keyed(k, h) into about parts ranges, from a sample of some 64 keys a range."""
+    rows = keyed.count()
+    fraction = min(1.0, 64.0 * parts / max(rows, 1))
+    found = sorted(tuple(r) for r in (keyed if fraction == 1.0 else keyed.sample(fraction, 1)).collect())
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+
+
+def _place(k: Column, h: Column, edges: list[tuple[int, int]]) -> Column:
+    """How many edges are at most (k, h): a binary search in a constant array."""
+    if not edges:
+        return F.lit(0)
+    one, two = (F.array(*map(F.lit, x)).cast("array<long>") for x in zip(*edges))
+    steps = F.array(*[F.lit(1 << i) for i in range(len(edges).bit_length() - 1, -1, -1)])
+
+    def halve(at: Column, step: Column) -> Column:
+        edge = F.get(one, at + step - 1)
+        below = (edge < k) | ((edge == k) & (F.get(two, at + step - 1) <= h))
+        return F.when((at + step <= len(edges)) & below, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
+def with_next(docs: DataFrame, extra: Callable[[DataFrame], DataFrame] | None = None, carry: tuple[str, ...] = (), range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """docs(doc_id, text) with next, the text and carry of the next row by ascending doc_id, after the last the first's.
 
     extra adds the carried columns to rows of text.
 
-    Ids are cut at approximate quantiles into ranges, each ordered on its own; a
-    range's last row finds the next range's first, which is sent along.  Rows of one
-    id are ordered by text; null ids come first.
+    Ids are cut into ranges at sampled edges, by the size of the texts; each is ordered
+    on its own, and a range's last row finds the next range's first, which is sent
+    along.  Rows of one id are ordered by their texts' hashes, then texts, and ranges
+    cut between them too; null ids come first.  A text travels once.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"))
-    edges = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("e")).first()["e"] or []
-    edges = sorted(set(edges))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    within = F.lit(0)
-    for e in edges:
-        within = within + (key >= e).cast("int")
-    rows = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("k"), within.alias("part"))
-    given = F.struct("text", *carry)
-    firsts = rows.groupBy("part").agg(F.min(F.struct("k", "text")).alias("first")).select("part", "first.k", "first.text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("k")).withColumn("h", F.xxhash64("text"))
+    held = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // range_bytes)), 1 << 15)
+    rows = rows.withColumn("part", _place(F.col("k"), F.col("h"), _ranges(rows.select("k", "h"), parts)))
+    firsts = rows.groupBy("part").agg(F.min(F.struct("k", "h", "text")).alias("first")).select("part", "first.*")
     before = Window.orderBy("part")  # one row a range
-    ends = firsts.select(F.coalesce(F.lag("part").over(before), F.max("part").over(Window.partitionBy())).alias("part"), "k", "text")
-    ends = extra(ends) if extra else ends
+    ends = firsts.withColumn("part", F.coalesce(F.lag("part").over(before), F.max("part").over(Window.partitionBy())))
     both = rows.withColumn("after", F.lit(0)).unionByName(ends.withColumn("doc_id", F.lit(None).cast("long")).withColumn("after", F.lit(1)))
-    order = Window.partitionBy("part").orderBy("after", "k", "text")
-    return both.withColumn("next", F.lead(given).over(order)).where("after = 0").drop("k", "part", "after")
+    dealt = both.repartition(4 * parts, "part")  # so many that few ranges share a task
+    dealt = extra(dealt) if extra else dealt
+    order = Window.partitionBy("part").orderBy("after", "k", "h", "text")
+    return dealt.withColumn("next", F.lead(F.struct("text", *carry)).over(order)).where("after = 0").drop("k", "h", "part", "after")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -122,7 +146,7 @@ def fingerprint_report(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chai
     the next row is the row itself.  Other columns are ignored; no rows give none.
     """
     sign = lambda df, text, to: add_signature(df, text, to, anchors, chain, every)
-    rows = with_next(sign(docs.select("doc_id", "text"), "text", "a"), ("a",), lambda df: sign(df, "text", "a"))
+    rows = with_next(docs, lambda df: sign(df, "text", "a"), ("a",))
     rows = rows.withColumn("edit", edited(F.col("text"), F.col("next.text")))
     made = sign(rows, "edit", "b").select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"), "a", "b", F.col("next.a").alias("c")
