@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import lean, slices, texts
 
 #: Words whose encoding a worker keeps; beyond it the memory is emptied and filled anew.
 CACHE_WORDS = 250_000
@@ -452,6 +452,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     Repeated rows and null ids stay; other columns are ignored.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(_file(path))
         sha = hashlib.sha256
@@ -471,6 +472,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 def encode_column(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs(doc_id, text) with ids array<int> and the decoded text, for use of the tokens themselves."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(_file(path))
         for batch in slices(batches, "text", 2 << 20):

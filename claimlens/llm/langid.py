@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import lean, slices, texts
 
 SIZES = (2, 3, 4)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -135,6 +135,7 @@ def train(docs: DataFrame, train_per_language: int = 2000, grams_per_language: i
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.select("lang", "text", draw.alias("draw")).join(kinds, "lang").where("draw < share").select("at", "text")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             here, lang = np.unique(batch.column(0).to_numpy(), return_inverse=True)
@@ -180,6 +181,7 @@ def _apply(spark: SparkSession, model: Model, keep: list[str]):
     # the table is slots * 8 bytes, whatever the data
     sent = spark.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         names = np.array([*model.languages, "und"], object)
@@ -195,8 +197,8 @@ def accepted(docs: DataFrame, min_score: float = 0.1) -> DataFrame:
     """The rows of docs whose language is told, with score min_score or more; docs' columns are unchanged."""
     model = train(docs)
     names = docs.columns
-    inner = docs.select([F.col(c).alias(f"in_{c}") if c != "text" else F.col(c) for c in names])
-    keep = [c if c == "text" else f"in_{c}" for c in names]
+    keep = [c if c == "text" else f"in_{i}" for i, c in enumerate(names)]
+    inner = docs.select([F.col(f"`{c}`").alias(k) for c, k in zip(names, keep)])
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType(list(inner.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boosting
-from .common import slices, texts
+from .common import lean, slices, texts
 
 TRAIN_PAGES = 700
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -426,6 +426,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     forest = model()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             found = extract([t.decode("utf-8", "replace") for t in texts(batch, "text")], forest)
