@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import induced
-from .common import materialize, slices, texts
+from .common import discard, lean, materialize, slices, texts
 
 ANCHOR = 64
 #: Bytes of extents that a shard takes, unless a single minimizer has more, and of bodies that one sort takes.
@@ -40,6 +40,11 @@ _table = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def anchor_for(length: int) -> int:
+    """The bytes that a minimizer of windows of length bytes has: a power of two, a sixth of them at most, and ANCHOR at most."""
+    return min(ANCHOR, 1 << (max(length // 6, 1).bit_length() - 1))
+
+
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A hash of data[i : i + size] for every i where it fits; size is a power of two."""
     h, step, factor = _table[data], 1, _M1
@@ -97,6 +102,7 @@ def _text_key(text: Column) -> list[Column]:
 def _find(length: int, anchor: int):
     names = ["t1", "t2", "mh", "eh", "first", "last", "mid"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches, "text", 2 << 20):
@@ -130,6 +136,7 @@ def _find(length: int, anchor: int):
 
 
 def _cut(length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             wanted = batch.column(batch.schema.get_field_index("wanted"))
@@ -232,13 +239,14 @@ def judge(rows: list[tuple[int, int, bytes]], length: int, anchor: int = ANCHOR,
 def _judge(length: int, shard_bytes: int):
     """Over rows ordered by mh: judge whole minimizers together until a shard is full."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             mh, eh, spans = [], [], []
-            for (m, e, _, _), at in zip(held, judge([(m, mid, body) for m, _, mid, body in held], length)):
+            for (m, e, _, _), at in zip(held, judge([(m, mid, body) for m, _, mid, body in held], length, anchor_for(length))):
                 if len(at):
                     cut = np.flatnonzero(np.diff(at) > 1) + 1
                     mh.append(m)
@@ -263,12 +271,12 @@ def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES)
     """(t1, t2, spans) of the texts of docs(text) that hold bytes of a repeated string: spans array<struct<a,b>> of first and last window."""
     key = _text_key(F.col("text"))
     keyed = docs.where(F.octet_length("text") >= length).select(*key, "text")
-    found = keyed.mapInArrow(_find(length, ANCHOR), "t1 long, t2 int, mh long, eh long, first long, last long, mid long")
+    found = keyed.mapInArrow(_find(length, anchor_for(length)), "t1 long, t2 int, mh long, eh long, first long, last long, mid long")
     found = materialize(found, "extents")
     at = F.struct("t1", "t2", "first", "last", "mid")
     kinds = materialize(found.groupBy("mh", "eh").agg(F.count("*").alias("n"), F.min(at).alias("at")), "kinds")
-    several = kinds.groupBy("mh").agg(F.count("*").alias("kinds")).where("kinds > 1").select("mh")
-    open_ = kinds.join(several, "mh", "left_semi")
+    # one deal by minimizer both counts its kinds and keeps them; a join with the count would deal twice
+    open_ = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("mh"))).where("kinds > 1").drop("kinds")
     wanted = open_.groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(F.collect_list(F.struct("mh", "eh", F.col("at.first").alias("first"), F.col("at.last").alias("last"), F.col("at.mid").alias("mid"))).alias("wanted"))
     # copies of a text find the same bytes; one body an extent goes on
     bodies = keyed.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(_cut(length), "mh long, eh long, mid long, body binary")
@@ -278,6 +286,7 @@ def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES)
     # an extent that stands several times is repeated as a whole
     whole = kinds.where("n > 1").select("mh", "eh", F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
     found_spans = materialize(judged.unionByName(whole).groupBy("mh", "eh").agg(F.max(F.col("spans").isNull()).alias("all"), F.max("spans").alias("spans")), "spans")
+    discard(kinds)
     hits = found.join(found_spans, ["mh", "eh"])
     windows = F.when(F.col("all"), F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))).otherwise(
         F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"]).alias("b")))
@@ -285,7 +294,8 @@ def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES)
     return hits.groupBy("t1", "t2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(windows)))).alias("spans"))
 
 
-def _apply(length: int, keep: list[str], digest: bool):
+def _apply(length: int, keep: list[str], digest: bool, min_words: int = 0):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
@@ -297,6 +307,8 @@ def _apply(length: int, keep: list[str], digest: bool):
                         merged[-1][1] = max(merged[-1][1], w["b"] + length)
                     else:
                         merged.append([w["a"], w["b"] + length])
+                if min_words:
+                    merged = [m for m in merged if m[1] - m[0] >= 2 * length or len(text[m[0] : m[1]].split()) >= min_words]
                 size.append(len(text))
                 removed.append(sum(b - a for a, b in merged))
                 runs.append(len(merged))
@@ -323,9 +335,12 @@ def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
     return with_spans.mapInArrow(_apply(length, ["doc_id"], True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, min_words: int = 0) -> DataFrame:
     """docs with the repeated bytes taken out of text, other columns as they were; a null text stays null.
 
+    With min_words a run of repeated bytes that holds fewer words stays, unless it has
+    twice length bytes: passages are then told by their words, and length only has to
+    be below what so many words take.
     A character of which part is cut away goes as a whole, and n_chars, where docs has
     it, is set to the new length.
     """
@@ -336,7 +351,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     joined = keyed.join(spans, ["t1", "t2"], "left").drop("t1", "t2")
     keep = [f"in_{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in keep)
-    done = joined.mapInArrow(_apply(length, keep, False), f"{schema}, n_bytes long, n_removed long, n_spans long, kept string")
+    done = joined.mapInArrow(_apply(length, keep, False, min_words), f"{schema}, n_bytes long, n_removed long, n_spans long, kept string")
     out = []
     for i, c in enumerate(names):
         old = F.col(f"in_{i}")

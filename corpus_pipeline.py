@@ -12,10 +12,19 @@ from claimlens.llm.common import materialize
 from claimlens.session import ship
 
 
+#: Bytes and words from which on a passage that stands elsewhere too goes.  Of the windows of 51 words in the
+#: given texts one in a hundred has fewer bytes (lists of short words).
+PASSAGE_BYTES, PASSAGE_WORDS = 240, 51
+
+
 def _marked(docs: DataFrame, salt: str) -> DataFrame:
-    """docs with _row and _row2, 128 bits of hashes that tell rows apart."""
-    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")]
-    return docs.withColumn("_row", F.xxhash64(*plain)).withColumn("_row2", F.xxhash64(F.lit(salt), *plain))
+    """docs as row, its doc_id, text and source, and _row and _row2, 128 bits of hashes that tell rows apart.
+
+    Maps, which have no hash, count as their JSON.
+    """
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(every, docs.schema.fields)]
+    return docs.select(F.struct(*every).alias("row"), "doc_id", "text", "source", F.xxhash64(*plain).alias("_row"), F.xxhash64(F.lit(salt), *plain).alias("_row2"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marked = _marked(docs, "near")
     kept = simhash.representatives(marked.select("doc_id", "text", *key), key)
     # rows that are equal in every column have one key
-    return marked.join(kept, list(key)).groupBy(*key).agg(F.first(F.struct(docs.columns)).alias("row")).select("row.*")
+    return marked.select("row", *key).join(kept, list(key)).groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that stand more than once among them."""
+    """Documents without the passages of over 50 words that stand more than once among them."""
     ship(spark)
-    return suffix_dedup.without_repeats(docs)
+    return suffix_dedup.without_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = _marked(docs, "mix")
     copies = mixing.mix(marked, by_id=weight, carry=["doc_id", *key]).groupBy(*key).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     # the join leaves rows dealt out and sorted by key, as the aggregation needs them
-    found = marked.join(copies, key).groupBy(*key).agg(F.first(F.struct(docs.columns)).alias("row"), F.first("_copies").alias("_copies"))
+    found = marked.select("row", *key).join(copies, key).groupBy(*key).agg(F.first("row").alias("row"), F.first("_copies").alias("_copies"))
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")
 
 

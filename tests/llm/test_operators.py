@@ -180,6 +180,21 @@ def removal(texts, length):
         yield len(t), sum(cover), len(re.findall(b"\1+", bytes(cover))), hashlib.sha256(bytes(x for x, k in zip(t, cover) if not k)).hexdigest()
 
 
+def without_passages(texts, length, words):
+    """The texts without the runs of repeated bytes that hold words words or twice length bytes."""
+    c = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        cover = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if c[t[i : i + length]] > 1:
+                cover[i : i + length] = b"\1" * length
+        out, end = b"", 0
+        for m in re.finditer(b"\1+", bytes(cover)):
+            if len(m[0]) >= 2 * length or len(t[m.start() : m.end()].split()) >= words:
+                out, end = out + t[end : m.start()], m.end()
+        yield (out + t[end:]).decode("utf-8", "ignore")
+
+
 def test_suffix_dedup(spark, docs, odd):
     rng = random.Random(8)
     passage = "".join(rng.choice("abcd efgh") for _ in range(700))
@@ -330,8 +345,8 @@ def test_pipeline(spark):
     assert sorted(r[0] for r in two.select("doc_id").collect()) == sorted(r[0] for r in simhash.simhash_components(one).select("component_id").distinct().collect())
     three = p.repeated_passages(spark, two, DATA)
     rows = [(r["doc_id"], r["text"]) for r in two.collect()]
-    kept = {i: n - gone for (i, _), (n, gone, _, _) in zip(rows, removal([t.encode() for _, t in rows], 400))}
-    assert three.columns == docs.columns and all(kept[r["doc_id"]] - 3 * 8 <= len(r["text"].encode()) <= kept[r["doc_id"]] for r in three.collect())
+    kept = dict(zip([i for i, _ in rows], without_passages([t.encode() for _, t in rows], p.PASSAGE_BYTES, p.PASSAGE_WORDS)))
+    assert three.columns == docs.columns and {r["doc_id"]: r["text"] for r in three.collect()} == kept
     assert p.run(spark, DATA).count() == p.mixture(spark, three, DATA).count() > 0
 
 
@@ -373,3 +388,188 @@ def test_near_duplicates_keep_every_component(spark):
 def test_nothing_else_imports_this():
     root = Path(__file__).resolve().parents[2] / "claimlens"
     assert not [f for f in root.rglob("*.py") if "llm" not in f.parts and re.search(r"(from|import) [\w.]*\bllm\b", f.read_text())]
+
+
+def planted(n, words, seed=1):
+    """n pairs of documents that share a passage of words words, each in words of its own, and n clean documents."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    out, passages = [], []
+    for _ in range(n):
+        passages.append(prose(words))
+        out += [f"{prose(80)} {passages[-1]} {prose(70)}" for _ in range(2)]
+    return out, passages, [prose(200) for _ in range(n)]
+
+
+def test_passages_of_many_words_go(spark):
+    """What stands twice and has over 50 words goes whole, what has fewer and clean documents stay."""
+    import corpus_pipeline as p
+
+    long, passages, clean = planted(40, 51)
+    short, fewer, _ = planted(40, 40, 2)
+    rows = [(i, t, {"k": i}) for i, t in enumerate([*long, *short, *clean])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string,int>").withColumn("source", F.lit(None).cast("string"))
+    got = {r["doc_id"]: r["text"] for r in p.repeated_passages(spark, docs, DATA).collect()}
+    assert not [1 for i in range(80) if passages[i // 2] in got[i] or len(got[i].split()) > 152]
+    assert all(got[i] == t for i, t in enumerate([*long, *short, *clean]) if i >= 80) and len(fewer) == 40
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd):
+    """Clashing and dotted names, maps, nulls and repeated rows: every stage runs, and only what it decides goes."""
+    import corpus_pipeline as p
+
+    more = odd.withColumn("a.b", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("row", F.lit("x")).withColumn("_row", F.lit(1)).withColumn("_copies", F.lit(2)).withColumn("in_0", F.lit(3))
+    for name, stage in p.STAGES[:-1]:
+        for frame in (more, empty(more)):
+            out = stage(spark, frame, DATA)
+            rows = out.collect()
+            assert out.columns == more.columns and {r["row"] for r in rows} <= {"x"}, name
+            assert len(rows) <= 2 * frame.count(), name
+    # rows that differ in a map only are two documents of the mix
+    two = spark.createDataFrame([(1, "a b c", "s", {"k": 1}), (1, "a b c", "s", {"k": 2})], "doc_id long, text string, source string, m map<string,int>")
+    assert len(p._marked(two, "x").select("_row", "_row2").distinct().collect()) == 2
+
+
+def test_known_licences_wrapped(spark):
+    """Known texts with their paragraphs wrapped at any width; what only looks like a notice counts."""
+    import textwrap
+
+    rows, want = [], []
+    for k, t in license_scan.LICENSES.items():
+        for width in (50, 61, 72, 88, 100, 10**6):
+            rows.append("\n\n".join(textwrap.fill(" ".join(x.split()), width, break_long_words=False, break_on_hyphens=False) for x in re.split(r"\n[ \t]*\n", t)))
+            want.append(k)
+    more = ["(c) You must keep notices.", "(c) You may sell everything.", "licence licence", "license license", "Copyright 2020 A\nx", "x", "copyright notice\nx"]
+    frame = spark.createDataFrame(list(enumerate([*rows, *more])), "doc_id long, text string")
+    got = sorted(tuple(r) for r in license_scan.scan(frame).collect())
+    assert [r[2] for r in got[: len(rows)]] == want
+    a = [r[1] for r in got[len(rows) :]]
+    assert a[0] != a[1] and a[2] == a[3] and a[4] == a[5] != a[6]
+    c = duckdb.connect()
+    c.register("documents", frame.toPandas())
+    assert sorted((r[0], r[1]) for r in c.sql(license_scan.oracle_sql()).fetchall()) == [r[:2] for r in got]
+
+
+def test_simhash_large_cells_are_cut(spark):
+    """Any cell size and number of blocks gives the same components as all pairs."""
+    rng = random.Random(14)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    fps = {b ^ sum(1 << x for x in rng.sample(range(64), k)) for b in base for k in (0, 1, 2, 3, 4, 5, 6) for _ in range(6)}
+    hub = rng.getrandbits(64)
+    fps |= {hub ^ sum(1 << x for x in rng.sample(range(64), k)) for k in (1, 2, 3) for _ in range(100)}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+
+    def whole(links):
+        root = {x: x for x in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return {x: find(x) for x in signed}
+
+    want = whole((a, b) for i, b in enumerate(signed) for a in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    for large, blocks in ((8192, None), (5, None), (5, 8), (0, 9)):
+        assert whole(tuple(r) for r in simhash.links(frame, large=large, blocks=blocks).collect()) == want
+    assert [simhash.blocks_for(10**k) for k in (4, 8, 11, 12)] == [6, 6, 9, 11]
+    code = simhash._codes(np.array(signed, np.int64).view(np.uint64))
+    got = {r["fp"]: r["v"] for r in frame.select("fp", simhash.embedding(F.col("fp")).alias("v")).collect()}
+    assert [got[x] for x in signed] == code.view(np.int64).tolist()
+    count = lambda x: [(x >> 2 * s & 3).bit_count() for s in range(32)]
+    for (a, u), (b, v) in zip(zip(signed, code.tolist()), zip(signed[7:], code.tolist()[7:])):
+        assert (u ^ v).bit_count() == sum(abs(x - y) for x, y in zip(count(a & (1 << 64) - 1), count(b & (1 << 64) - 1)))
+
+
+def spots(text, chain=2, every=8):
+    """The signature of one text in plain Python."""
+    import regex
+    import xxhash
+
+    digest = lambda s: xxhash.xxh64_intdigest(s.encode(), 42)
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    kept = [(w, w in spotsigs.ANCHORS) for i, w in enumerate(words) if not (w in spotsigs.ANCHORS and i + 1 < len(words) and words[i + 1] in spotsigs.ANCHORS)]
+    found = set()
+    for i, (w, anchor) in enumerate(kept):
+        if anchor or digest(w) % every == 0:
+            after = [x for x, a in kept[i + 1 :] if not a][:chain]
+            if len(after) == chain:
+                found.add(" ".join([w, *after]) + " ")
+    if not found and text:
+        found = {" ".join(words) if words else text}
+    return sorted(digest(s) & 0x7FFFFFFF for s in found)
+
+
+def test_spotsigs_by_hand(spark, docs, odd):
+    """Fingerprints of texts and edited texts, and both likenesses, from the definition; ranges of any size agree."""
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    spell = lambda s: "".join(f"{x:08x}" for x in s)
+    for frame in (docs, odd):
+        got = {(r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in spotsigs.fingerprint_report(frame).collect()}
+        rows = sorted(((-1 << 63 if i is None else i), t, i) for i, t in local(frame))
+        want = set()
+        for k, (_, t, i) in enumerate(rows):
+            other, cut = rows[(k + 1) % len(rows)][1], len(t) // 4
+            a, b, c = spots(t), spots(t[: len(t) - cut] + other[:cut]), spots(other)
+            want.add((i, len(t), spell(a), spell(b), round(alike(a, b), 9), round(alike(a, c), 9)))
+        assert got == want
+    base = spotsigs.with_next(docs).select("doc_id", "text", "next.text").collect()
+    many = spotsigs.with_next(docs, range_bytes=2000).select("doc_id", "text", "next.text").collect()
+    assert sorted(base, key=str) == sorted(many, key=str)
+    hot = spark.createDataFrame([(7, f"text {i % 40}") for i in range(400)], "doc_id long, text string")
+    chain = {(r[0], r[1]) for r in spotsigs.with_next(hot, range_bytes=100).select("text", "next.text").collect()}
+    assert len({a for a, _ in chain}) == 40 and len([1 for a, b in chain if a != b]) == 40
+
+
+def test_warc_repeated_rows(spark):
+    """Rows that are equal throughout: one response, the others revisit it; the numbers do not hang on the input's order."""
+    page = "x" * 1200
+    rows = [(1, "u", page), (2, "u", page), (2, "v", page), (2, "v", page), (2, "v", page), (None, "u", page), (None, "u", page), (3, None, None), (3, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit("clash")).withColumn("digest", F.lit("clash"))
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.roundtrip(frame).collect()]
+    assert sorted(got, key=str) == sorted([(1, "revisit", 2), (2, "revisit", 2), (2, "revisit", 2), (2, "revisit", 2), (2, "response", None), (None, "revisit", 2), (None, "revisit", 2), (3, "response", None), (3, "response", None)], key=str)
+    for order in ("url", F.desc("url")):
+        plan = warc.plan_captures(frame.orderBy(order).coalesce(1)).where("winner is null and page_id = 2").select("url", "row").collect()
+        assert [tuple(r) for r in plan] == [("v", 2)]
+
+
+def test_a_shared_folder_is_asked_for():
+    from claimlens.llm import common
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda k, d: d)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            class getConf:
+                get = staticmethod(lambda k, d: d)
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster)
+
+
+def test_very_long_texts(spark):
+    """One text of over 1 MB: every operator takes it whole."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, "a short text of a few words", "en", "s")], "doc_id long, text string, lang string, source string")
+    one = lambda df: next(r for r in df.collect() if r["doc_id"] == 1)
+    assert one(repetition.repetition_rules(docs))["n_words"] == 200_000
+    assert one(bpe.encode_digests(docs))["n_tokens"] > 200_000
+    assert one(suffix_dedup.removal_report(docs))["n_bytes"] == len(long)
+    assert one(simhash.simhash_components(docs))["fingerprint"] == f"{simhash.fingerprint(long.encode()):016x}"
+    assert one(mixing.mix(docs))["size"] == 200_000
+    assert one(spotsigs.fingerprint_report(docs))["n_chars"] == len(long)
+    assert one(license_scan.scan(docs))["license_id"] is None
+    assert one(langid.identify(docs))["doc_id"] == 1
+    html = f"<html><body><article><p>{long}</p></article></body></html>"
+    page = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert warc.roundtrip(page).first()["payload_bytes"] == len(html) and pages.main_text(page).first()["n_chars"] == len(long)
