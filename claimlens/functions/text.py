@@ -25,9 +25,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def fold_digits(text: Column) -> Column:
-    """White space to one space, trimmed, and letters between digits that were misread: O as 0, l and I as 1, B as 8."""
+    """White space to one space, trimmed, and letters between digits that were misread: O and o as 0, l and I as 1, B as 8."""
     out = F.trim(F.regexp_replace(text, "\\s+", " "))
-    for letter, digit in (("O", "0"), ("[lI]", "1"), ("B", "8")):
+    for letter, digit in (("[Oo]", "0"), ("[lI]", "1"), ("B", "8")):
         out = F.regexp_replace(out, f"(?<=\\d){letter}(?=\\d)", digit)
     return out
 
@@ -129,11 +129,12 @@ def _parsed(text: Column, formats: tuple[str, ...]) -> Column:
     return F.coalesce(*out)
 
 
-def normalize_date(raw: Column, as_of: str = "2025-01-01") -> Column:
-    """ISO text of a date as cards print it; null if it is none, before 1900 or after as_of."""
+def normalize_date(raw: Column, as_of: str | None = None) -> Column:
+    """ISO text of a date as cards print it; null if it is none, before 1900 or after as_of (today)."""
+    last = F.current_date() if as_of is None else F.lit(as_of).cast("date")
     return let(
         let(F.trim(F.regexp_replace(raw, "\\s+", " ")), lambda s: _parsed(s, _DATE_FORMATS)),
-        lambda d: F.when((F.year(d) >= 1900) & (d <= F.lit(as_of).cast("date")), F.date_format(d, "yyyy-MM-dd")),
+        lambda d: F.when((F.year(d) >= 1900) & (d <= last), F.date_format(d, "yyyy-MM-dd")),
     )
 
 

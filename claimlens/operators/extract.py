@@ -60,11 +60,11 @@ def _first_date(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, P.DATE, 1), F.lit(""))
 
 
-def _birth(lines: Column, text: Column, pattern: str, as_of: str) -> Column:
+def _birth(lines: Column, text: Column, pattern: str, as_of: str | None) -> Column:
     return T.normalize_date(F.coalesce(F.nullif(after_label(lines, label_line(lines, pattern), pattern), F.lit("")), _first_date(text)), as_of)
 
 
-def _date_at(lines: Column, pattern: str, as_of: str) -> Column:
+def _date_at(lines: Column, pattern: str, as_of: str | None) -> Column:
     return T.normalize_date(_first_date(after_label(lines, label_line(lines, pattern), pattern)), as_of)
 
 
@@ -78,7 +78,7 @@ def _take(pattern: str, text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
 
 
-def fields(lines: Column, text: Column, as_of: str = "2025-01-01") -> dict[str, Column]:
+def fields(lines: Column, text: Column, as_of: str | None = None) -> dict[str, Column]:
     """Every field by document kind: {kind.field: expression}."""
     up = F.upper(text)
     father = label_line(lines, P.FATHER_LABEL)
@@ -119,22 +119,22 @@ def fields(lines: Column, text: Column, as_of: str = "2025-01-01") -> dict[str,
         "PASSPORT.given_name": F.coalesce(F.when(two, part(F.regexp_replace(holder, "^.*?<<", ""))), _named(lines, P.GIVEN_LABEL)),
         "PASSPORT.nationality": F.coalesce(F.nullif(F.regexp_extract(mrz, P.MRZ_LINE, 1), F.lit("")), F.when(nation_at > 0, F.nullif(F.substring(F.upper(after_label(lines, nation_at, P.NATIONALITY_LABEL)), 1, 3), F.lit("")))),
         "PASSPORT.dob": _date_at(lines, P.DOB_LABEL, as_of),
-        "PASSPORT.expiry_date": _date_at(lines, P.EXPIRY_LABEL, "9999-12-31"),
+        "PASSPORT.expiry_date": _date_at(lines, P.EXPIRY_LABEL, as_of),
         "DRIVING_LICENSE.driving_license_number": F.regexp_replace(_take(P.DRIVING, up), "[-\\s]", ""),
         "DRIVING_LICENSE.name": _named(lines, P.NAME_LABEL),
         "DRIVING_LICENSE.dob": _date_at(lines, P.DOB_LABEL, as_of),
-        "DRIVING_LICENSE.validity": _date_at(lines, P.VALIDITY_LABEL, "9999-12-31"),
+        "DRIVING_LICENSE.validity": _date_at(lines, P.VALIDITY_LABEL, as_of),
         "GST_CERTIFICATE.gstin": _take(P.GSTIN, up),
         "GST_CERTIFICATE.legal_name": _named(lines, P.LEGAL_LABEL),
         "GST_CERTIFICATE.trade_name": _named(lines, P.TRADE_LABEL),
     }
 
 
-def extract(docs: DataFrame, as_of: str = "2025-01-01") -> DataFrame:
+def extract(docs: DataFrame, as_of: str | None = None) -> DataFrame:
     """docs(document_type, lines, raw_text) with fields map<string,string> of its kind, and name for comparison.
 
     A passport's name is its given name and surname, a registration's its legal name.
-    Dates that must lie in the past are held against as_of.
+    Dates after as_of (today) are null, expiry and validity too.
     """
     every = fields(F.col("lines"), F.col("raw_text"), as_of)
     kinds = sorted({k.split(".")[0] for k in every})

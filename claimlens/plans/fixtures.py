@@ -13,6 +13,8 @@ _L = lambda k: f"chr(CAST(65 + (c_custkey * {k}) % 26 AS INT))"
 _FIRST = f"({_L(1)} || 'avin' || lower({_L(3)}) || 'u')"
 _LAST = f"({_L(5)} || 'hett' || lower({_L(7)}) || 'n')"
 _PAN = f"({_L(1)} || {_L(3)} || {_L(5)} || 'P' || {_L(7)} || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') || {_L(11)})"
+#: A zero between digits, read as the letter, on every third card.
+_MISREAD = f"CASE WHEN c_custkey % 3 = 0 THEN substr({_PAN}, 1, 6) || replace(substr({_PAN}, 7, 1), '0', 'o') || substr({_PAN}, 8) ELSE {_PAN} END"
 _DAY, _MONTH, _YEAR = "lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0')", "lpad(CAST(1 + c_custkey % 12 AS STRING), 2, '0')", "CAST(1950 + c_custkey % 55 AS STRING)"
 _TWELVE = "lpad(CAST((c_custkey * 7919 + 234567) % 10000 AS STRING), 4, '2') || ' ' || lpad(CAST((c_custkey * 104729) % 10000 AS STRING), 4, '0') || ' ' || lpad(CAST((c_custkey * 31 + 17) % 10000 AS STRING), 4, '0')"
 
@@ -31,7 +33,7 @@ SELECT c_custkey AS request_id, {_KIND} AS document_type,
 FROM customer"""
 
 _TEXT = {
-    "PAN": ["'INCOME TAX DEPARTMENT'", "'GOVT. OF INDIA'", f"upper({_FIRST} || ' ' || {_LAST})", "'Father''s Name'", f"'Dev ' || {_LAST}", "'Date of Birth'", f"{_DAY} || '/' || {_MONTH} || '/' || {_YEAR}", _PAN, "'~~%% ##'"],
+    "PAN": ["'INCOME TAX DEPARTMENT'", "'GOVT. OF INDIA'", f"upper({_FIRST} || ' ' || {_LAST})", "'Father''s Name'", f"'Dev ' || {_LAST}", "'Date of Birth'", f"{_DAY} || '/' || {_MONTH} || '/' || {_YEAR}", _MISREAD, "'~~%% ##'"],
     "AADHAAR": ["'Government of India'", f"{_FIRST} || ' ' || {_LAST}", f"'DOB: ' || {_DAY} || '/' || {_MONTH} || '/' || {_YEAR}", "CASE c_custkey % 2 WHEN 0 THEN 'Gender: MALE' ELSE 'Gender: F' END", _TWELVE, "'xkcdf'", "'abCDe'", "'Unique Identification'", "'Unique Identification'"],
     "PASSPORT": ["'REPUBLIC OF INDIA'", f"'P<IND' || upper({_LAST}) || '<<' || upper({_FIRST}) || '<<<<<<'", "'Passport No. K' || lpad(CAST(c_custkey AS STRING), 7, '0')", f"'Date of Birth ' || {_DAY} || '-' || {_MONTH} || '-' || {_YEAR}", "'Nationality: INDIAN'", "'Date of Expiry 11/03/2031'", "'...'", "'Place'", "'-'"],
     "DRIVING_LICENSE": ["'Driving Licence'", "'MH-12-2011-' || lpad(CAST(c_custkey AS STRING), 7, '0')", f"'Name: ' || {_FIRST} || ' ' || {_LAST}", f"'DOB: ' || {_DAY} || '.' || {_MONTH} || '.' || {_YEAR}", "'Valid Till: 01/02/2030'", "'ok'", "'a1b2c'", "'State'", "'## $$ !!'"],

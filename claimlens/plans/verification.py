@@ -210,14 +210,14 @@ SELECT request_id, round(risk_score, 10) AS risk_score, risk_band, decision,
     "audit_timing": f"{_WITH('kyc_audit')} SELECT decision, count(latency_ms) AS runs, round(min(latency_ms)::DOUBLE, 6) AS min_s, round(max(latency_ms)::DOUBLE, 6) AS max_s, round(avg(latency_ms), 6) AS mean_s, round(median(latency_ms), 6) AS p50_s FROM kyc_audit GROUP BY 1",
     "reasoner_gate": f"""{_WITH('kyc_requests')} SELECT CASE WHEN fraud_verdict = 'LIKELY_AI' THEN 'hard reject path (fraud LIKELY_AI)' WHEN overall = 'FAIL' THEN 'hard reject path (validation FAIL)'
  WHEN overall = 'PASS' AND fraud_verdict = 'LIKELY_AUTHENTIC' AND ocr_confidence >= 0.85::DOUBLE THEN 'clean approve path (no ambiguity to resolve)' WHEN overall <> 'MISSING' THEN 'no missing required fields' ELSE 'sent' END AS reason, count(*) AS n FROM kyc_requests GROUP BY 1""",
-    "line_admission": f"""{_WITH('kyc_lines')}, c AS (SELECT regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([0-9])O([0-9])', '\\10\\2', 'g'), '([0-9])[lI]([0-9])', '\\11\\2', 'g'), '([0-9])B([0-9])', '\\18\\2', 'g') AS c, confidence FROM kyc_lines),
+    "line_admission": f"""{_WITH('kyc_lines')}, c AS (SELECT regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([0-9])[Oo]([0-9])', '\\10\\2', 'g'), '([0-9])[lI]([0-9])', '\\11\\2', 'g'), '([0-9])B([0-9])', '\\18\\2', 'g') AS c, confidence FROM kyc_lines),
 m AS (SELECT c, confidence, {_KEYED} AS k, length(regexp_replace(c, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(c, '[^0-9]', '', 'g')) AS g, greatest(1, length(replace(c, ' ', ''))) AS total FROM c)
 SELECT CASE WHEN {_IDENT} THEN 'KEPT' WHEN confidence < CASE WHEN k THEN 0.75::DOUBLE * 0.55::DOUBLE ELSE 0.55::DOUBLE END THEN 'LOW_CONFIDENCE' WHEN length(c) < 3 AND NOT k THEN 'TOO_SHORT'
   WHEN (total - l - g)::DOUBLE / total > 0.4::DOUBLE AND NOT k THEN 'SYMBOL_HEAVY' WHEN l = 0 AND g = 0 THEN 'NO_LETTERS' WHEN l BETWEEN 3 AND 8 AND g = 0 AND NOT regexp_matches(c, '[AEIOUaeiou]') AND NOT k THEN 'NO_VOWELS'
   WHEN regexp_matches(c, '{P.GIBBERISH}') AND NOT k THEN 'GIBBERISH' ELSE 'KEPT' END AS code, count(*) AS n FROM m GROUP BY 1""",
     "confidence_rollup": f"{_WITH('kyc_lines')} SELECT request_id, round(avg(confidence), 6) AS mean, round(median(confidence), 6) AS median, min(confidence) AS least, count(*) FILTER (confidence < 0.70::DOUBLE) AS low, count(*) FILTER (confidence < 0.55::DOUBLE) AS suspicious FROM kyc_lines GROUP BY 1",
     "classify": f"{_WITH('kyc_lines')}, {_TEXTS}, k AS (SELECT request_id, CASE {_CLASS} ELSE 'UNKNOWN/0.0' END AS k FROM t) SELECT request_id, split_part(k, '/', 1) AS document_type, CAST(split_part(k, '/', 2) AS DOUBLE) AS confidence FROM k",
-    "identifiers": f"""{_WITH('kyc_lines')}, {_TEXTS}, u AS (SELECT request_id, regexp_replace(regexp_replace(regexp_replace(t, '([0-9])O([0-9])', '\\10\\2', 'g'), '([0-9])[lI]([0-9])', '\\11\\2', 'g'), '([0-9])B([0-9])', '\\18\\2', 'g') AS t FROM t),
+    "identifiers": f"""{_WITH('kyc_lines')}, {_TEXTS}, u AS (SELECT request_id, regexp_replace(regexp_replace(regexp_replace(t, '([0-9])[Oo]([0-9])', '\\10\\2', 'g'), '([0-9])[lI]([0-9])', '\\11\\2', 'g'), '([0-9])B([0-9])', '\\18\\2', 'g') AS t FROM t),
 k AS (SELECT request_id, upper(t) AS t, split_part(CASE {_CLASS} ELSE 'UNKNOWN/0' END, '/', 1) AS k FROM u),
 v AS (SELECT request_id, CASE k WHEN 'PAN' THEN 'pan_number' WHEN 'PASSPORT' THEN 'passport_number' WHEN 'DRIVING_LICENSE' THEN 'driving_license_number' WHEN 'GST_CERTIFICATE' THEN 'gstin' END AS field,
   CASE k WHEN 'PAN' THEN regexp_extract(t, '{P.PAN}') WHEN 'PASSPORT' THEN regexp_extract(t, '{P.PASSPORT}') WHEN 'DRIVING_LICENSE' THEN regexp_replace(regexp_extract(t, '{P.DRIVING}'), '[-\\s]', '', 'g') WHEN 'GST_CERTIFICATE' THEN regexp_extract(t, '{P.GSTIN}') END AS value FROM k)
