@@ -142,7 +142,7 @@ def check_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     (profile,) = _load(spark, sf_dir, "kyc_profiles")
     turned = F.concat_ws(" ", F.substring_index("name", " ", -1), F.substring_index("name", " ", 1))
-    return profile.select("request_id", T.same_name(F.col("name"), turned).alias("turned"), T.same_name(F.col("name"), F.concat(F.col("name"), F.lit(" Rao"))).alias("longer"), T.same_name(F.col("name"), F.lit("Quite Other")).alias("other"))
+    return profile.select("request_id", T.same_name(F.col("name"), turned).alias("turned"), T.same_name(F.col("name"), F.concat(F.col("name"), F.lit(" Rao"))).alias("longer"), T.same_name(F.col("name"), F.lit("Quite Other")).alias("other"), *[T.same_name(F.col("name"), F.concat(F.expr(f"left(name, length(name) - {k})"), F.lit("9" * k))).alias(f"off_by_{k}") for k in (2, 3)])
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +195,16 @@ _EMPTY_OR = "coalesce(value, '') = ''"
 _VERHOEFF = "list_reduce(list_prepend(0, range(0, 12)), lambda a, i: CAST(substr({d}, a * 10 + CAST(substr({p}, (i % 8) * 10 + CAST(substr(reverse(n), i + 1, 1) AS INT) + 1, 1) AS INT) + 1, 1) AS INT))"
 _FLAT = {"d": "'" + "".join(str(x) for r in P.VERHOEFF_D for x in r) + "'", "p": "'" + "".join(str(x) for r in P.VERHOEFF_P for x in r) + "'"}
 
+_ADMITTED = f"""{_WITH('kyc_lines')}, c AS (SELECT regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([0-9])[Oo]([0-9])', '\\10\\2', 'g'), '([0-9])[lI]([0-9])', '\\11\\2', 'g'), '([0-9])B([0-9])', '\\18\\2', 'g') AS c, confidence, request_id, pos, x, y FROM kyc_lines),
+m AS (SELECT request_id, pos, x, y, c, confidence, {_KEYED} AS k, length(regexp_replace(c, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(c, '[^0-9]', '', 'g')) AS g, greatest(1, length(replace(c, ' ', ''))) AS total FROM c),
+a AS (SELECT request_id, pos, x, y, c, CASE WHEN {_IDENT} THEN 'KEPT' WHEN confidence < CASE WHEN k THEN 0.75::DOUBLE * 0.55::DOUBLE ELSE 0.55::DOUBLE END THEN 'LOW_CONFIDENCE' WHEN length(c) < 3 AND NOT k THEN 'TOO_SHORT'
+  WHEN (total - l - g)::DOUBLE / total > 0.4::DOUBLE AND NOT k THEN 'SYMBOL_HEAVY' WHEN l = 0 AND g = 0 THEN 'NO_LETTERS' WHEN l BETWEEN 3 AND 8 AND g = 0 AND NOT regexp_matches(c, '[AEIOUaeiou]') AND NOT k THEN 'NO_VOWELS'
+  WHEN regexp_matches(c, '{P.GIBBERISH}') AND NOT k THEN 'GIBBERISH' ELSE 'KEPT' END AS code FROM m)"""
+#: What the cards were made from, and whether their numbers can be read: a checksum, and no letter that is taken for a digit.
+_KEYED_CARDS = f"""WITH p AS ({fixtures.ALL['kyc_profiles']}), k AS (SELECT request_id, {fixtures._KIND.replace('c_custkey', 'request_id')} AS kind, split_part(name, ' ', 1) AS f, split_part(name, ' ', 2) AS l, dob, passport, gstin,
+ gstin[3:12] AS pan, gstin[12] NOT IN ('O', 'I', 'B') AS whole, n, {_VERHOEFF.format(**_FLAT)} = 0 AS ok FROM (SELECT *, replace(aadhaar, ' ', '') AS n FROM p))"""
+_is = lambda **at: ", ".join(f"{{'field': '{k}', 'value': {v}}}" for k, v in at.items())
+
 QUERIES = {f.__name__: f for f in (verify, decisions_by_kind, reasoner_gate, line_admission, line_stats, reading_order, confidence_rollup, classify, extract_fields, identifiers, validate_fields, general_documents, key_values, fraud_verdicts, metadata_suspicion, rectify_fields, hallucination, audit_newest, audit_metrics, check_identifiers, fuzzy_names, run_summary, display, audit_timing)}
 ORACLE_SQL = {
     "verify": f"""{_WITH('kyc_requests')}, {_RISK}
@@ -210,11 +220,28 @@ SELECT request_id, round(risk_score, 10) AS risk_score, risk_band, decision,
     "audit_timing": f"{_WITH('kyc_audit')} SELECT decision, count(latency_ms) AS runs, round(min(latency_ms)::DOUBLE, 6) AS min_s, round(max(latency_ms)::DOUBLE, 6) AS max_s, round(avg(latency_ms), 6) AS mean_s, round(median(latency_ms), 6) AS p50_s FROM kyc_audit GROUP BY 1",
     "reasoner_gate": f"""{_WITH('kyc_requests')} SELECT CASE WHEN fraud_verdict = 'LIKELY_AI' THEN 'hard reject path (fraud LIKELY_AI)' WHEN overall = 'FAIL' THEN 'hard reject path (validation FAIL)'
  WHEN overall = 'PASS' AND fraud_verdict = 'LIKELY_AUTHENTIC' AND ocr_confidence >= 0.85::DOUBLE THEN 'clean approve path (no ambiguity to resolve)' WHEN overall <> 'MISSING' THEN 'no missing required fields' ELSE 'sent' END AS reason, count(*) AS n FROM kyc_requests GROUP BY 1""",
-    "line_admission": f"""{_WITH('kyc_lines')}, c AS (SELECT regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([0-9])[Oo]([0-9])', '\\10\\2', 'g'), '([0-9])[lI]([0-9])', '\\11\\2', 'g'), '([0-9])B([0-9])', '\\18\\2', 'g') AS c, confidence FROM kyc_lines),
-m AS (SELECT c, confidence, {_KEYED} AS k, length(regexp_replace(c, '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(c, '[^0-9]', '', 'g')) AS g, greatest(1, length(replace(c, ' ', ''))) AS total FROM c)
-SELECT CASE WHEN {_IDENT} THEN 'KEPT' WHEN confidence < CASE WHEN k THEN 0.75::DOUBLE * 0.55::DOUBLE ELSE 0.55::DOUBLE END THEN 'LOW_CONFIDENCE' WHEN length(c) < 3 AND NOT k THEN 'TOO_SHORT'
-  WHEN (total - l - g)::DOUBLE / total > 0.4::DOUBLE AND NOT k THEN 'SYMBOL_HEAVY' WHEN l = 0 AND g = 0 THEN 'NO_LETTERS' WHEN l BETWEEN 3 AND 8 AND g = 0 AND NOT regexp_matches(c, '[AEIOUaeiou]') AND NOT k THEN 'NO_VOWELS'
-  WHEN regexp_matches(c, '{P.GIBBERISH}') AND NOT k THEN 'GIBBERISH' ELSE 'KEPT' END AS code, count(*) AS n FROM m GROUP BY 1""",
+    "line_admission": f"""{_ADMITTED} SELECT code, count(*) AS n FROM a GROUP BY 1""",
+    "line_stats": f"""{_ADMITTED}, d AS (SELECT request_id, code = 'KEPT' AND row_number() OVER (PARTITION BY request_id, code = 'KEPT', upper(c), round_even(y / 10, 0) ORDER BY y, x, pos) = 1 AS kept FROM a)
+SELECT request_id, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS rejected FROM d GROUP BY 1""",
+    "reading_order": f"""WITH RECURSIVE kyc_lines AS ({fixtures.ALL['kyc_lines']}), s AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY y, x, pos) AS i FROM kyc_lines),
+b AS (SELECT request_id, greatest(8.0::DOUBLE, 0.5::DOUBLE * list_sort(list(h))[len(list(h)) // 2 + 1]) AS band FROM s GROUP BY 1),
+f AS (SELECT request_id, i, pos, x, y, y AS mid, 1 AS r FROM s WHERE i = 1 UNION ALL
+ SELECT s.request_id, s.i, s.pos, s.x, s.y, CASE WHEN abs(s.y - f.mid) > band THEN s.y ELSE (f.mid + s.y) / 2 END, f.r + CASE WHEN abs(s.y - f.mid) > band THEN 1 ELSE 0 END FROM f JOIN s ON s.request_id = f.request_id AND s.i = f.i + 1 JOIN b ON b.request_id = s.request_id)
+SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY r, x, y, pos) - 1 AS ord FROM f""",
+    "hallucination": f"""{_WITH('kyc_proposals', 'kyc_lines')}, {_TEXTS}, j AS (SELECT p.request_id, greatest(coalesce(confidence, 0), 0.1::DOUBLE) AS w, lower(trim(value)) AS v, coalesce(lower(regexp_replace(t, '\s+', ' ', 'g')), '') AS t FROM kyc_proposals p LEFT JOIN t USING (request_id) WHERE trim(coalesce(value, '')) <> ''),
+q AS (SELECT *, regexp_replace(t, '[^a-z0-9]', '', 'g') AS flat, regexp_replace(v, '[^a-z0-9]', '', 'g') AS vf, list_filter(regexp_split_to_array(v, '[^a-z0-9]+'), lambda s: length(s) >= 2) AS parts FROM j),
+m AS (SELECT request_id, w, CASE WHEN contains(t, v) OR (vf <> '' AND contains(flat, vf)) THEN 0 WHEN len(parts) = 0 THEN 1 ELSE len(list_filter(parts, lambda s: NOT contains(flat, s)))::DOUBLE / len(parts) END AS miss FROM q)
+SELECT request_id, round_even(sum(w * miss) / sum(w), 3) AS hallucination_score FROM m GROUP BY 1""",
+    "extract_fields": f"""{_KEYED_CARDS} SELECT request_id, document_type, e.field, e.value FROM (SELECT request_id, kind AS document_type, unnest(CASE kind
+ WHEN 'PAN' THEN [{_is(pan_number='pan', father_name="'Dev ' || l", name="f || ' ' || l", dob='dob')}]
+ WHEN 'AADHAAR' THEN [{_is(name="f || ' ' || l", dob='dob', gender="CASE request_id % 2 WHEN 0 THEN 'MALE' ELSE 'FEMALE' END", aadhaar_last4="CASE WHEN ok THEN right(n, 4) END", masked_aadhaar="CASE WHEN ok THEN 'XXXX XXXX ' || right(n, 4) END")}]
+ WHEN 'PASSPORT' THEN [{_is(passport_number='passport', surname='l', given_name='f', nationality="'IND'", dob='dob', name="f || ' ' || l")}]
+ WHEN 'DRIVING_LICENSE' THEN [{_is(driving_license_number="'MH122011' || substr(passport, 2)", name="f || ' ' || l", dob='dob')}]
+ WHEN 'GST_CERTIFICATE' THEN [{_is(gstin="CASE WHEN whole THEN gstin END", legal_name="f || ' Traders'", trade_name="l || ' Stores'", name="f || ' Traders'")}] END) AS e FROM k) WHERE e.value IS NOT NULL""",
+    "validate_fields": f"""{_KEYED_CARDS}, v AS (SELECT request_id, kind, CASE kind WHEN 'PAN' THEN 3 WHEN 'AADHAAR' THEN 3 WHEN 'PASSPORT' THEN 3 WHEN 'DRIVING_LICENSE' THEN CASE WHEN request_id % 3 = 0 THEN 2 ELSE 3 END WHEN 'GST_CERTIFICATE' THEN 1 ELSE 0 END AS total,
+ CASE kind WHEN 'PAN' THEN CASE WHEN request_id % 5 = 0 THEN 'FAIL' ELSE 'PASS' END WHEN 'AADHAAR' THEN CASE WHEN ok THEN 'PASS' ELSE 'MISSING' END WHEN 'PASSPORT' THEN 'PASS' WHEN 'DRIVING_LICENSE' THEN 'PASS' WHEN 'GST_CERTIFICATE' THEN CASE WHEN whole THEN 'PASS' ELSE 'MISSING' END ELSE 'NOT_APPLICABLE' END AS overall FROM k),
+w AS (SELECT *, total - CASE WHEN overall IN ('FAIL', 'MISSING') THEN 1 ELSE 0 END AS passed FROM v)
+SELECT request_id, kind AS document_type, overall, CASE WHEN total = 0 THEN 0 ELSE round(passed / total, 6) END::DOUBLE AS match_score, passed AS required_passed, total AS required_total, CASE kind WHEN 'AADHAAR' THEN 1 ELSE 0 END AS optional_passed, CASE WHEN kind IN ('AADHAAR', 'GST_CERTIFICATE') THEN 1 ELSE 0 END AS optional_total FROM w""",
     "confidence_rollup": f"{_WITH('kyc_lines')} SELECT request_id, round(avg(confidence), 6) AS mean, round(median(confidence), 6) AS median, min(confidence) AS least, count(*) FILTER (confidence < 0.70::DOUBLE) AS low, count(*) FILTER (confidence < 0.55::DOUBLE) AS suspicious FROM kyc_lines GROUP BY 1",
     "classify": f"{_WITH('kyc_lines')}, {_TEXTS}, k AS (SELECT request_id, CASE {_CLASS} ELSE 'UNKNOWN/0.0' END AS k FROM t) SELECT request_id, split_part(k, '/', 1) AS document_type, CAST(split_part(k, '/', 2) AS DOUBLE) AS confidence FROM k",
     "identifiers": f"""{_WITH('kyc_lines')}, {_TEXTS}, u AS (SELECT request_id, regexp_replace(regexp_replace(regexp_replace(t, '([0-9])[Oo]([0-9])', '\\10\\2', 'g'), '([0-9])[lI]([0-9])', '\\11\\2', 'g'), '([0-9])B([0-9])', '\\18\\2', 'g') AS t FROM t),
@@ -240,5 +267,5 @@ SELECT (SELECT count(*) FROM kyc_audit) AS requests_total, (SELECT count(*) FROM
     "check_identifiers": f"""{_WITH('kyc_profiles')}, n AS (SELECT request_id, pan, regexp_replace(aadhaar, '\\D', '', 'g') AS n FROM kyc_profiles)
 SELECT request_id, regexp_matches(pan, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') AND strpos('PCHFATBLJG', substr(pan, 4, 1)) > 0 AS pan_valid, CASE substr(pan, 4, 1) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in P.HOLDERS.items())} END AS holder_type,
  NOT regexp_matches(n, '^[01]') AND {_VERHOEFF.format(**_FLAT)} = 0 AS aadhaar_valid, right(n, 4) AS last4 FROM n""",
-    "fuzzy_names": f"{_WITH('kyc_profiles')} SELECT request_id, TRUE AS turned, TRUE AS longer, FALSE AS other FROM kyc_profiles",
+    "fuzzy_names": f"{_WITH('kyc_profiles')} SELECT request_id, TRUE AS turned, TRUE AS longer, FALSE AS other, 200.0 * (length(name) - 2) / (2 * length(name)) >= 85 AS off_by_2, 200.0 * (length(name) - 3) / (2 * length(name)) >= 85 AS off_by_3 FROM kyc_profiles",
 }
