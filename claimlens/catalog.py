@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import intake, relational, verification
+from .plans import intake, relational, service, verification
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**verification.QUERIES, **intake.QUERIES, **relational.QUERIES}
-ORACLE_SQL: dict[str, str] = {**verification.ORACLE_SQL, **intake.ORACLE_SQL, **relational.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**verification.QUERIES, **intake.QUERIES, **service.QUERIES, **relational.QUERIES}
+ORACLE_SQL: dict[str, str] = {**verification.ORACLE_SQL, **intake.ORACLE_SQL, **service.ORACLE_SQL, **relational.ORACLE_SQL}

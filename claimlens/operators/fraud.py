@@ -33,8 +33,8 @@ def verdicts(signals: DataFrame, table: DataFrame | None = None) -> DataFrame:
     score = F.col("s") / F.when(F.col("w") == 0, 1.0).otherwise(F.col("w"))
     at = lambda k: F.when(F.col("profile") == "AADHAAR", P.VERDICT_AT["AADHAAR"][k]).otherwise(P.VERDICT_AT["default"][k])
     verdict = F.when(F.col("fraud_score") >= at(1), "LIKELY_AI").when(F.col("fraud_score") >= at(0), "SUSPICIOUS").otherwise("LIKELY_AUTHENTIC")
-    names = F.array_join(F.transform("t", lambda e: F.format_string("%s(%.2f)", e["code"], e["score"])), ", ")
-    head = F.format_string("%s (confidence=%.2f); ", F.col("fraud_verdict"), F.col("fraud_score"))
+    names = F.array_join(F.transform("t", lambda e: F.format_string("%s(%.2f)", e["code"], F.bround(e["score"], 2))), ", ")
+    head = F.format_string("%s (confidence=%.2f); ", F.col("fraud_verdict"), F.bround("fraud_score", 2))
     return packed.withColumn("fraud_score", score).withColumn("fraud_verdict", verdict).select(
         "request_id", "fraud_score", "fraud_verdict", F.transform("t", lambda e: e["code"]).alias("triggered"),
         F.concat(head, F.when(F.size("t") == 0, "no individual signal crossed its threshold.").otherwise(F.concat(F.lit("triggered: "), names, F.lit(".")))).alias("explanation"),

@@ -52,7 +52,7 @@ def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     (raw,) = _load(spark, sf_dir, "kyc_lines")
-    return lines.reading_order(raw).select("request_id", "pos", "ord")
+    return lines.reading_order(raw).select("request_id", "pos", F.col("ord").cast("long").alias("ord"))
 
 
 def confidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +228,7 @@ b AS (SELECT request_id, greatest(8.0::DOUBLE, 0.5::DOUBLE * list_sort(list(h))[
 f AS (SELECT request_id, i, pos, x, y, y AS mid, 1 AS r FROM s WHERE i = 1 UNION ALL
  SELECT s.request_id, s.i, s.pos, s.x, s.y, CASE WHEN abs(s.y - f.mid) > band THEN s.y ELSE (f.mid + s.y) / 2 END, f.r + CASE WHEN abs(s.y - f.mid) > band THEN 1 ELSE 0 END FROM f JOIN s ON s.request_id = f.request_id AND s.i = f.i + 1 JOIN b ON b.request_id = s.request_id)
 SELECT request_id, pos, row_number() OVER (PARTITION BY request_id ORDER BY r, x, y, pos) - 1 AS ord FROM f""",
-    "hallucination": f"""{_WITH('kyc_proposals', 'kyc_lines')}, {_TEXTS}, j AS (SELECT p.request_id, greatest(coalesce(confidence, 0), 0.1::DOUBLE) AS w, lower(trim(value)) AS v, coalesce(lower(regexp_replace(t, '\s+', ' ', 'g')), '') AS t FROM kyc_proposals p LEFT JOIN t USING (request_id) WHERE trim(coalesce(value, '')) <> ''),
+    "hallucination": f"""{_WITH('kyc_proposals', 'kyc_lines')}, {_TEXTS}, j AS (SELECT p.request_id, greatest(coalesce(confidence, 0), 0.1::DOUBLE) AS w, lower(trim(value)) AS v, coalesce(lower(regexp_replace(t, '\\s+', ' ', 'g')), '') AS t FROM kyc_proposals p LEFT JOIN t USING (request_id) WHERE trim(coalesce(value, '')) <> ''),
 q AS (SELECT *, regexp_replace(t, '[^a-z0-9]', '', 'g') AS flat, regexp_replace(v, '[^a-z0-9]', '', 'g') AS vf, list_filter(regexp_split_to_array(v, '[^a-z0-9]+'), lambda s: length(s) >= 2) AS parts FROM j),
 m AS (SELECT request_id, w, CASE WHEN contains(t, v) OR (vf <> '' AND contains(flat, vf)) THEN 0 WHEN len(parts) = 0 THEN 1 ELSE len(list_filter(parts, lambda s: NOT contains(flat, s)))::DOUBLE / len(parts) END AS miss FROM q)
 SELECT request_id, round_even(sum(w * miss) / sum(w), 3) AS hallucination_score FROM m GROUP BY 1""",

@@ -22,6 +22,15 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, "\\.([^./\\\\]+)$", 1))
 
 
+def mime(path: Column) -> Column:
+    """The type that an extension stands for; null for one that is not admitted.
+
+    All admitted extensions stand for images or PDF, so the rule on types follows from that on extensions.
+    """
+    ext = extension(path)
+    return F.when(ext == "pdf", "application/pdf").when(ext == "jpg", "image/jpeg").when(ext == "tif", "image/tiff").when(ext.isin(*P.EXTENSIONS), F.concat(F.lit("image/"), ext))
+
+
 def admission(max_mb: int = 15) -> Column:
     """Over binaryFile columns: the error code of a file, first rule that holds; null: admitted."""
     ext = extension(F.col("path"))
