@@ -105,7 +105,7 @@ def _find(length: int, anchor: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             docs = texts(batch, "text")
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             # a text too long for one piece is searched in pieces that overlap by a window less one byte
@@ -115,7 +115,7 @@ def _find(length: int, anchor: int):
             for k, part in enumerate(parts):
                 group.append(part)
                 held += len(part[2])
-                if held < 2 << 20 and k + 1 < len(parts):
+                if held < 1 << 20 and k + 1 < len(parts):
                     continue
                 size = np.fromiter((len(x) for _, _, x in group), np.int64, len(group))
                 bounds = np.concatenate([[0], np.cumsum(size)])
