@@ -36,7 +36,7 @@ def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     for branch in (checked, judged, tags, rectify.hallucination(proposals, text)):
         cases = cases.join(branch, "request_id", "left")
     out = decide.decide(cases.withColumn("hallucination_score", F.coalesce("hallucination_score", F.lit(0.0))))
-    return out.select("request_id", "overall", "fraud_verdict", F.round("risk_score", 4).alias("risk_score"), "risk_band", "decision")
+    return out.select("request_id", "overall", "fraud_verdict", F.round("risk_score", 10).alias("risk_score"), "risk_band", "decision")
 
 
 def file_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,10 @@ _ORDER = {c: i for i, c in enumerate(dict.fromkeys(c for ws in P.WEIGHTS.values(
 QUERIES = {f.__name__: f for f in (end_to_end, file_admission, content_keys, masked_notes, fraud_explanations, pasted_lines, field_views)}
 _cte = lambda name: verification.ORACLE_SQL[name]
 ORACLE_SQL = {
-    "end_to_end": f"""WITH base AS ({fixtures.ALL['kyc_requests']}), va AS ({_cte('validate_fields')}), fr AS ({_cte('fraud_verdicts')}), me AS ({_cte('metadata_suspicion')}), ha AS ({_cte('hallucination')}),
+    "end_to_end": f"""WITH base AS ({fixtures.ALL['kyc_requests']}), va AS ({_cte('validate_fields')}), fr AS ({_cte('fraud_verdicts').replace('round(s, 10)', 's')}), me AS ({_cte('metadata_suspicion')}), ha AS ({_cte('hallucination')}),
 kyc_requests AS (SELECT base.* EXCLUDE (overall, match_score, fraud_score, fraud_verdict, metadata_suspicion, hallucination_score), va.overall, va.match_score, fr.fraud_score, fr.fraud_verdict, me.metadata_suspicion, coalesce(ha.hallucination_score, 0) AS hallucination_score
  FROM base LEFT JOIN va USING (request_id) LEFT JOIN fr USING (request_id) LEFT JOIN me USING (request_id) LEFT JOIN ha USING (request_id)), {_RISK}
-SELECT request_id, overall, fraud_verdict, round(risk_score, 4) AS risk_score, risk_band, decision FROM d""",
+SELECT request_id, overall, fraud_verdict, round(risk_score, 10) AS risk_score, risk_band, decision FROM d""",
     "file_admission": f"""WITH f AS (SELECT *, lower(split_part(path, '.', -1)) AS e FROM ({FILES})) SELECT file_id, e AS extension,
  CASE e WHEN 'pdf' THEN 'application/pdf' WHEN 'jpg' THEN 'image/jpeg' WHEN 'exe' THEN NULL ELSE 'image/' || e END AS mime,
  CASE WHEN head IS NULL THEN 'FILE_NOT_FOUND' WHEN e = 'exe' THEN 'UNSUPPORTED_FORMAT' WHEN length > 15728640 THEN 'FILE_TOO_LARGE' WHEN length = 0 THEN 'CORRUPT_FILE' WHEN e IN ('webp', 'tiff') THEN 'ADMITTED'
