@@ -44,18 +44,18 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat_ws(END, F.lit("WARC/1.1"), *lines, F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")), F.lit(""), block)
 
 
-def _numbered(rows: DataFrame, run: int = 1000) -> DataFrame:
-    """rows with row: 0, 1, ... among rows that are equal throughout.
+def _numbered(rows: DataFrame, counts: DataFrame, run: int = 1000) -> DataFrame:
+    """rows with row: 0, 1, ... among rows that are equal throughout, of which counts tells how many (n) there are.
 
-    Such rows are counted by what is small of them and come back as copies of one,
-    run at a time, so that many of them are many tasks' work.
+    Rows that repeat come back as copies of one, run at a time, so that many of them
+    are many tasks' work; where none does, there is nothing to join.
     """
+    if counts.where("n > 1").isEmpty():
+        return rows.withColumn("row", F.lit(0).cast("long"))
     same = ["page_id", "url", "digest", "bytes"]
-    null_id = F.col("page_id").isNull().alias("none")
-    id_ = F.coalesce("page_id", F.lit(0)).alias("page_id")
     plain = rows.withColumns({"none": F.col("page_id").isNull(), "page_id": F.coalesce("page_id", F.lit(0).cast("long"))})
     key = [*same, "none"]
-    again = materialize(rows.select(id_, "url", "digest", "bytes", null_id).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "again")
+    again = counts.where("n > 1").select(F.coalesce("page_id", F.lit(0).cast("long")).alias("page_id"), "url", "digest", "bytes", F.col("page_id").isNull().alias("none"), "n")
     once = plain.join(again, key, "left_anti").withColumn("row", F.lit(0).cast("long"))
     runs = plain.join(again, key).groupBy(*key, "n").agg(F.min("html").alias("html")).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(run).cast("long"))))
     copies = runs.repartition(*key, "from").withColumn("row", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + run, F.col("n")) - 1)))
@@ -76,8 +76,10 @@ def plan_captures(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", "").alias("url"), body.alias("html"),
         F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("long").alias("bytes"),
     )
-    rows = _numbered(rows)
-    groups = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max(F.struct(F.col("page_id"), F.col("url"), F.col("row"))).alias("winner"))
+    # pages are read once for this small table, which tells winners and repeated rows, and once to be written
+    counts = materialize(rows.groupBy("page_id", "url", "digest", "bytes").agg(F.count("*").alias("n")), "counts")
+    rows = _numbered(rows, counts)
+    groups = counts.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.sum("n").alias("n"), F.max(F.struct(F.col("page_id"), F.col("url"), (F.col("n") - 1).alias("row"))).alias("winner"))
     # written first, so that its size is known where the join is planned: small is broadcast, large is dealt out and split where it is skewed
     repeated = materialize(groups.where("n > 1").drop("n"), "repeated")
     at = F.struct(F.col("page_id"), F.col("url"), F.col("row"))
