@@ -9,6 +9,9 @@ different extents are their bytes gathered.  There, windows are taken ``STRIDE``
 starts at a time: all of them hold the same core of bytes around the minimizer, so
 those whose core is nowhere else are alone; the rest is sorted by induction with
 common prefixes, and windows whose neighbour shares ``length`` bytes are marked.
+The extents of one minimizer are one shard's work, except where it has so many
+kinds of them (a line that many documents hold, in surroundings of their own) that
+they are dealt by core: equal windows share that as well.
 
 Rows that travel are minimizers (about two per ``length - anchor`` bytes) and the
 extents that differ; texts travel once for those and once for the removal.
@@ -33,6 +36,9 @@ ANCHOR = 64
 SHARD_BYTES = 4 << 20
 #: Window starts that are judged together.
 STRIDE = 48
+#: Kinds of extents from which on a minimizer's extents are dealt by core.  Counted on one kind in HOT_SAMPLE, as
+#: both ways find the same; more are needed in a table of over HOT * HOT_MOST kinds, so the list stays short.
+HOT, HOT_SAMPLE, HOT_MOST = 256, 16, 1 << 20
 #: Bytes of a text that are searched for minimizers at once.
 PIECE = 8 << 20
 
@@ -143,14 +149,33 @@ def _cut(length: int):
             rows = wanted.flatten()
             size = pa.compute.list_value_length(wanted).to_numpy()
             mh, eh, first, last, mid = (rows.field(i).to_numpy() for i in range(5))
+            hot = rows.field(5).to_numpy(zero_copy_only=False)
             docs = texts(batch, "text")
             of = np.repeat(np.arange(len(docs)), size)
-            body = [docs[i][a : b + length] for i, a, b in zip(of.tolist(), first.tolist(), last.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(mh), pa.array(eh), pa.array(mid), pa.array(body, pa.binary())], names=["mh", "eh", "mid", "body"])
+            row, part, off, body = [], [], [], []
+            for k, (i, a, b, m, pieces) in enumerate(zip(of.tolist(), first.tolist(), last.tolist(), mid.tolist(), hot.tolist())):
+                extent = docs[i][a : b + length]
+                for core, start, piece in by_core(m, extent, length) if pieces else [(0, 0, extent)]:
+                    row.append(k)
+                    part.append(core)
+                    off.append(start)
+                    body.append(piece)
+            at = np.array(off, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(mh[row]), pa.array(part, pa.int64()), pa.array(eh[row]), pa.array(at), pa.array(mid[row] - at), pa.array(body, pa.binary())], names=["mh", "part", "eh", "off", "mid", "body"])
 
     return run
 
 
+def by_core(mid: int, body: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """(hash of the core, start, bytes) of the groups of windows of an extent whose minimizer is at mid; equal windows share the first."""
+    span, last = length - anchor_for(length), len(body) - length
+    for g in range((mid - last) // STRIDE, mid // STRIDE + 1):
+        near, far = g * STRIDE, min(g * STRIDE + STRIDE - 1, span)
+        a, b = max(0, mid - far), min(last, mid - near)
+        core = xxhash.xxh3_64_intdigest(body[mid - near : mid - far + length], g)
+        yield core - (1 << 64 if core >> 63 else 0), a, body[a : b + length]
+
+
 def repeated_windows(bodies: list[bytes], length: int, memory: int = induced.MEMORY_ENTRIES) -> list[np.ndarray]:
     """For each body (different ones, of length bytes or more) the starts of windows that stand elsewhere in bodies too."""
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
@@ -177,7 +202,7 @@ def repeated_windows(bodies: list[bytes], length: int, memory: int = induced.MEM
 def judge(rows: list[tuple[int, int, bytes]], length: int, anchor: int = ANCHOR, memory: int = induced.MEMORY_ENTRIES, room: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each extent (minimizer's hash, its place in the body, body) the starts of windows that stand in another extent too.
 
-    Extents of one minimizer differ.  Starts are cut into groups by their distance from
+    Extents may be given in pieces, each with the windows of one core.  Starts are cut into groups by their distance from
     the minimizer; all windows of a group hold one core, and equal windows one core.
     A sort takes the bodies of whole cores, room bytes at most: a core that has more is
     cut into finer groups, down to single windows, which need no sort.
@@ -237,37 +262,44 @@ def judge(rows: list[tuple[int, int, bytes]], length: int, anchor: int = ANCHOR,
 
 
 def _judge(length: int, shard_bytes: int):
-    """Over rows ordered by mh: judge whole minimizers together until a shard is full."""
+    """Over rows ordered by mh and part: judge whole parts together until a shard is full."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, int, bytes]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             mh, eh, spans = [], [], []
-            for (m, e, _, _), at in zip(held, judge([(m, mid, body) for m, _, mid, body in held], length, anchor_for(length))):
+            for (m, _, e, off, _, _), at in zip(held, judge([(m, mid, body) for m, _, _, _, mid, body in held], length, anchor_for(length))):
                 if len(at):
                     cut = np.flatnonzero(np.diff(at) > 1) + 1
                     mh.append(m)
                     eh.append(e)
-                    spans.append([{"a": int(x[0]), "b": int(x[-1])} for x in np.split(at, cut)])
+                    spans.append([{"a": off + int(x[0]), "b": off + int(x[-1])} for x in np.split(at, cut)])
             return pa.RecordBatch.from_arrays([pa.array(mh, pa.int64()), pa.array(eh, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["mh", "eh", "spans"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size >= shard_bytes and held[-1][0] != row[0]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if size >= shard_bytes and held[-1][:2] != row[:2]:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if held:
             yield flush()
 
     return run
 
 
-def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _hot(kinds: DataFrame, least: int) -> DataFrame:
+    """(mh, hot) of the minimizers that have least kinds or more, by a count of some; HOT_SAMPLE * HOT_MOST of them at the very most, HOT_MOST as a rule."""
+    least = max(least, kinds.count() // HOT_MOST) // HOT_SAMPLE
+    counted = kinds.where(F.pmod("eh", F.lit(HOT_SAMPLE)) == 0).groupBy("mh").agg(F.count("*").alias("kinds"))
+    return counted.where(F.col("kinds") >= max(least, 1)).select("mh", F.lit(True).alias("hot"))
+
+
+def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """(t1, t2, spans) of the texts of docs(text) that hold bytes of a repeated string: spans array<struct<a,b>> of first and last window."""
     key = _text_key(F.col("text"))
     keyed = docs.where(F.octet_length("text") >= length).select(*key, "text")
@@ -275,17 +307,21 @@ def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES)
     found = materialize(found, "extents")
     at = F.struct("t1", "t2", "first", "last", "mid")
     kinds = materialize(found.groupBy("mh", "eh").agg(F.count("*").alias("n"), F.min(at).alias("at")), "kinds")
-    # one deal by minimizer both counts its kinds and keeps them; a join with the count would deal twice
-    open_ = kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("mh"))).where("kinds > 1").drop("kinds")
-    wanted = open_.groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(F.collect_list(F.struct("mh", "eh", F.col("at.first").alias("first"), F.col("at.last").alias("last"), F.col("at.mid").alias("mid"))).alias("wanted"))
-    # copies of a text find the same bytes; one body an extent goes on
-    bodies = keyed.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(_cut(length), "mh long, eh long, mid long, body binary")
-    once = bodies.groupBy("mh", "eh").agg(F.min("mid").alias("mid"), F.min("body").alias("body"))
-    shards = once.repartition("mh").sortWithinPartitions("mh", "eh")
+    marked = kinds.join(F.broadcast(_hot(kinds, hot)), "mh", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # one deal by minimizer both counts its kinds and keeps them; a join with the count would deal twice.  Hot ones are open anyway
+    same = Window.partitionBy("mh", F.when(F.col("hot"), F.col("eh")))
+    open_ = marked.withColumn("kinds", F.count("*").over(same)).where("hot OR kinds > 1")
+    wanted = open_.groupBy(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2")).agg(
+        F.collect_list(F.struct("mh", "eh", F.col("at.first").alias("first"), F.col("at.last").alias("last"), F.col("at.mid").alias("mid"), "hot")).alias("wanted")
+    )
+    # copies of a text find the same bytes; one body an extent (or a piece of it) goes on
+    bodies = keyed.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(_cut(length), "mh long, part long, eh long, off long, mid long, body binary")
+    once = bodies.groupBy("mh", "part", "eh", "off").agg(F.min("mid").alias("mid"), F.min("body").alias("body"))
+    shards = once.repartition("mh", "part").sortWithinPartitions("mh", "part", "eh", "off")
     judged = shards.mapInArrow(_judge(length, shard_bytes), "mh long, eh long, spans array<struct<a:long,b:long>>")
     # an extent that stands several times is repeated as a whole
     whole = kinds.where("n > 1").select("mh", "eh", F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
-    found_spans = materialize(judged.unionByName(whole).groupBy("mh", "eh").agg(F.max(F.col("spans").isNull()).alias("all"), F.max("spans").alias("spans")), "spans")
+    found_spans = materialize(judged.unionByName(whole).groupBy("mh", "eh").agg(F.max(F.col("spans").isNull()).alias("all"), F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     discard(kinds)
     hits = found.join(found_spans, ["mh", "eh"])
     windows = F.when(F.col("all"), F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))).otherwise(
@@ -322,7 +358,7 @@ def _apply(length: int, keep: list[str], digest: bool, min_words: int = 0):
     return run
 
 
-def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
+def removal_report(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs(doc_id, text).
 
     A byte goes if a length-byte string over it also starts anywhere else in the table,
@@ -331,7 +367,7 @@ def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.select("doc_id", "text", *_text_key(F.col("text")))
-    with_spans = keyed.join(repeats(rows, length), ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    with_spans = keyed.join(repeats(rows, length, hot=hot), ["t1", "t2"], "left").select("doc_id", "text", "spans")
     return with_spans.mapInArrow(_apply(length, ["doc_id"], True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

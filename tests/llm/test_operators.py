@@ -209,6 +209,26 @@ def test_suffix_dedup(spark, docs, odd):
     assert suffix_dedup.without_repeats(odd).columns == odd.columns
 
 
+def test_hot_lines_are_dealt_by_core(spark, docs):
+    """Minimizers of many kinds, all of them hot or some, give what plain counting gives; their extents lie in many parts."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    line, left, right = word(90), word(330), word(330)
+    made = []
+    for i in range(300):
+        x, y = rng.choice([0, 5, 150, 250, 330]), rng.choice([0, 60, 150, 250, 330])
+        made.append((i, word(200) + left[330 - x :] + line + right[:y] + word(200)))
+    lines = spark.createDataFrame(made, "doc_id long, text string")
+    for frame in (lines, docs):
+        rows = local(frame)
+        want = [(i, *x) for (i, _), x in zip(rows, removal([t.encode() for _, t in rows], 400))]
+        for hot in (16, 64):
+            got = [tuple(r) for r in suffix_dedup.removal_report(frame, hot=hot).collect()]
+            assert sorted(got) == sorted(want)
+    parts = Counter(core for _ in made for core, _, _ in suffix_dedup.by_core(336, (word(336) + line[:64] + word(336)).encode(), 400))
+    assert len(parts) == 8 * len(made)
+
+
 def test_suffix_sorts_are_bounded(monkeypatch):
     """A hot minimizer's cores are sorted in parts, a hot core is cut finer; hits are those of plain counting."""
     rng = random.Random(12)
