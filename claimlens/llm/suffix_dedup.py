@@ -37,7 +37,8 @@ SHARD_BYTES = 4 << 20
 #: Window starts that are judged together.
 STRIDE = 48
 #: Kinds of extents from which on a minimizer's extents are dealt by core.  Counted on one kind in HOT_SAMPLE, as
-#: both ways find the same; more are needed in a table of over HOT * HOT_MOST kinds, so the list stays short.
+#: both ways find the same.  The texts that stand HOT times or more are dealt out as well.  More than HOT are needed
+#: in a table of over HOT * HOT_MOST extents, so that lists of hot ones stay short enough to be sent to all.
 HOT, HOT_SAMPLE, HOT_MOST = 256, 16, 1 << 20
 #: Bytes of a text that are searched for minimizers at once.
 PIECE = 8 << 20
@@ -299,13 +300,41 @@ def _hot(kinds: DataFrame, least: int) -> DataFrame:
     return counted.where(F.col("kinds") >= max(least, 1)).select("mh", F.lit(True).alias("hot"))
 
 
+def _copied(found: DataFrame, least: int) -> DataFrame:
+    """(t1, t2, ways) of the texts with least copies or more, HOT_MOST at most: their copies are dealt out in so many ways."""
+    least = max(least, found.count() // HOT_MOST)
+    copies = found.where("first = 0").groupBy("t1", "t2").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return copies.select("t1", "t2", F.ceil(F.col("n") / least).cast("int").alias("ways"))
+
+
+def _meet(keyed: DataFrame, facts: DataFrame, copied: DataFrame, length: int, how: str) -> DataFrame:
+    """keyed(t1, t2, text, ...) joined to facts(t1, t2, ...), one row a text at most.
+
+    Copies of a text that has many are dealt out by the partition they are read from,
+    which a task that runs again has too.  So are texts below length, which have no facts.
+    """
+    short = F.octet_length("text") < length
+    place = F.xxhash64(F.spark_partition_id())
+    ways = F.broadcast(copied)
+    left = keyed.join(ways, ["t1", "t2"], "left").withColumn("way", F.when(short, -1).otherwise(F.pmod(place, F.coalesce("ways", F.lit(1)))).cast("int"))
+    left = left.withColumn("t1", F.when(short, place).otherwise(F.col("t1"))).drop("ways")
+    right = facts.join(ways, ["t1", "t2"], "left").withColumn("way", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
+    return left.join(right, ["t1", "t2", "way"], how).drop("way")
+
+
 def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
-    """(t1, t2, spans) of the texts of docs(text) that hold bytes of a repeated string: spans array<struct<a,b>> of first and last window."""
-    key = _text_key(F.col("text"))
-    keyed = docs.where(F.octet_length("text") >= length).select(*key, "text")
+    """docs(text, ...), no text null, with spans, the array<struct<a,b>> of the first and last windows of repeated strings, null where there are none."""
+    keyed = docs.select(*_text_key(F.col("text")), *docs.columns)
+    spans, copied = _spans(keyed.where(F.octet_length("text") >= length).select("t1", "t2", "text"), length, shard_bytes, hot)
+    return _meet(keyed, spans, copied, length, "left").select(*docs.columns, "spans")
+
+
+def _spans(keyed: DataFrame, length: int, shard_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, spans) of the texts that hold repeated strings, and the texts that have many copies."""
     found = keyed.mapInArrow(_find(length, anchor_for(length)), "t1 long, t2 int, mh long, eh long, first long, last long, mid long")
     found = materialize(found, "extents")
     at = F.struct("t1", "t2", "first", "last", "mid")
+    copied = materialize(_copied(found, hot), "copied")
     kinds = materialize(found.groupBy("mh", "eh").agg(F.count("*").alias("n"), F.min(at).alias("at")), "kinds")
     marked = kinds.join(F.broadcast(_hot(kinds, hot)), "mh", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     # one deal by minimizer both counts its kinds and keeps them; a join with the count would deal twice.  Hot ones are open anyway
@@ -315,7 +344,7 @@ def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES,
         F.collect_list(F.struct("mh", "eh", F.col("at.first").alias("first"), F.col("at.last").alias("last"), F.col("at.mid").alias("mid"), "hot")).alias("wanted")
     )
     # copies of a text find the same bytes; one body an extent (or a piece of it) goes on
-    bodies = keyed.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(_cut(length), "mh long, part long, eh long, off long, mid long, body binary")
+    bodies = _meet(keyed, wanted, copied, length, "inner").select("text", "wanted").mapInArrow(_cut(length), "mh long, part long, eh long, off long, mid long, body binary")
     once = bodies.groupBy("mh", "part", "eh", "off").agg(F.min("mid").alias("mid"), F.min("body").alias("body"))
     shards = once.repartition("mh", "part").sortWithinPartitions("mh", "part", "eh", "off")
     judged = shards.mapInArrow(_judge(length, shard_bytes), "mh long, eh long, spans array<struct<a:long,b:long>>")
@@ -327,7 +356,7 @@ def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = SHARD_BYTES,
     windows = F.when(F.col("all"), F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))).otherwise(
         F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"]).alias("b")))
     )
-    return hits.groupBy("t1", "t2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(windows)))).alias("spans"))
+    return hits.groupBy("t1", "t2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(windows)))).alias("spans")), copied
 
 
 def _apply(length: int, keep: list[str], digest: bool, min_words: int = 0):
@@ -366,9 +395,7 @@ def removal_report(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFr
     of length bytes or more nothing stays.  Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", "text", *_text_key(F.col("text")))
-    with_spans = keyed.join(repeats(rows, length, hot=hot), ["t1", "t2"], "left").select("doc_id", "text", "spans")
-    return with_spans.mapInArrow(_apply(length, ["doc_id"], True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeats(rows, length, hot=hot).mapInArrow(_apply(length, ["doc_id"], True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 400, min_words: int = 0) -> DataFrame:
@@ -382,9 +409,7 @@ def without_repeats(docs: DataFrame, length: int = 400, min_words: int = 0) -> D
     """
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeats(inner.select("text"), length)
-    keyed = inner.withColumns({"t1": _text_key(F.col("text"))[0], "t2": _text_key(F.col("text"))[1]})
-    joined = keyed.join(spans, ["t1", "t2"], "left").drop("t1", "t2")
+    joined = repeats(inner, length)
     keep = [f"in_{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in keep)
     done = joined.mapInArrow(_apply(length, keep, False, min_words), f"{schema}, n_bytes long, n_removed long, n_spans long, kept string")

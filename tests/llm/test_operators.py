@@ -229,6 +229,26 @@ def test_hot_lines_are_dealt_by_core(spark, docs):
     assert len(parts) == 8 * len(made)
 
 
+def test_copies_are_dealt_out(spark):
+    """A third of the rows is one text, a third is empty or null: rows stay whole and are spread over tasks."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    copy = word(900)
+    made = [(i, copy if i % 3 == 0 else ["", None][i % 2] if i % 3 == 1 else word(600) + (copy[200:650] if i % 2 else "")) for i in range(600)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(12)
+    rows = local(frame)
+    want = [(i, *x) for (i, _), x in zip(rows, removal([t.encode() for _, t in rows], 400))]
+    for hot in (16, 1000):
+        assert sorted(tuple(r) for r in suffix_dedup.removal_report(frame, hot=hot).collect()) == sorted(want)
+    found = frame.where("length(text) >= 400").select(*suffix_dedup._text_key(F.col("text")), F.lit(0).alias("first"))
+    copied = suffix_dedup._copied(found, 16)
+    assert [r["ways"] for r in copied.collect()] == [13]
+    key = copied.select("t1", "t2", F.lit(1).alias("fact"))
+    keyed = frame.na.fill("").select(*suffix_dedup._text_key(F.col("text")), "text", F.spark_partition_id().alias("was"))
+    met = suffix_dedup._meet(keyed, key, copied, 400, "left")
+    assert met.count() == 600 and met.where("fact = 1").count() == 200
+
+
 def test_suffix_sorts_are_bounded(monkeypatch):
     """A hot minimizer's cores are sorted in parts, a hot core is cut finer; hits are those of plain counting."""
     rng = random.Random(12)
