@@ -356,7 +356,7 @@ def _spans(keyed: DataFrame, length: int, shard_bytes: int, hot: int) -> tuple[D
     windows = F.when(F.col("all"), F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))).otherwise(
         F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"]).alias("b")))
     )
-    return hits.groupBy("t1", "t2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(windows)))).alias("spans")), copied
+    return hits.groupBy("t1", "t2").agg(F.sort_array(F.flatten(F.collect_set(windows))).alias("spans")), copied
 
 
 def _apply(length: int, keep: list[str], digest: bool, min_words: int = 0):
