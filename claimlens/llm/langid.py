@@ -9,7 +9,7 @@ false-positive rate) is taken off, and the largest corrected count decides.
 Learning takes a bounded, deterministic sample of the labelled rows
 (``train_per_language`` documents of each language in expectation), counts on
 the executors in how many documents each n-gram stands, and keeps per language
-the ``grams_per_language`` most common ones whose share of documents is at least
+about the ``grams_per_language`` most common ones whose share of documents is at least
 ``min_share`` of that in the language where they are most common.  An n-gram that
 stands in one document only counts in languages of fewer than ``few`` documents,
 which take none from larger ones.  This model is all that reaches the driver; its
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, slices, texts
+from .common import lean, materialize, slices, texts
 
 SIZES = (2, 3, 4)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -153,8 +153,7 @@ def train(docs: DataFrame, train_per_language: int = 2000, grams_per_language: i
     same = Window.partitionBy("gram")
     most = F.when(F.col("small"), F.max("rate").over(same)).otherwise(F.max(F.when(~F.col("small"), F.col("rate"))).over(same))
     own = rated.withColumn("most", most).where(F.col("rate") >= min_share * F.col("most"))
-    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), "gram"))
-    best = own.withColumn("rank", rank).where(F.col("rank") <= grams_per_language).select("at", "gram").toPandas()
+    best = _most_common(materialize(own.select("at", "gram", "n"), "grams"), grams_per_language).toPandas()
     at = best["at"].to_numpy(np.int64)
     bits = np.uint64(1) << (at % 64).astype(np.uint64)
     for place in _probes(best["gram"].to_numpy(np.int64).view(np.uint64), slots):
@@ -163,6 +162,20 @@ def train(docs: DataFrame, train_per_language: int = 2000, grams_per_language: i
     return Model(languages, table, fill**2)
 
 
+def _most_common(grams: DataFrame, most: int) -> DataFrame:
+    """(at, gram) of the n-grams of grams(at, gram, n) that are the most common of their language, about ``most`` of them.
+
+    Counts by how many n-grams have them tell from which count on all fit; of those
+    with the next lower count a share told by a hash fills up, so no task ranks a language.
+    """
+    counts = grams.groupBy("at", "n").agg(F.count("*").alias("has"))
+    above = F.coalesce(F.sum("has").over(Window.partitionBy("at").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each number of documents of the sample that some n-gram of a language stands in: bounded as the sample is
+    share = counts.withColumn("share", (F.lit(most) - above) / F.col("has")).where("share > 0").select("at", "n", "share")
+    draw = F.pmod(F.xxhash64("gram", F.lit("grams")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return grams.join(F.broadcast(share), ["at", "n"]).where(draw < F.col("share")).select("at", "gram")
+
+
 def identify(docs: DataFrame, model: Model | None = None, **settings) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs(doc_id, text, lang).
 

@@ -411,6 +411,19 @@ def test_every_language_is_learned(spark):
     assert all(told[i] == k for i, _, k in rows)
 
 
+def test_most_common_ngrams(spark):
+    rows = [(at, 65536 * g, 1 + (g * 7 + at) % 40) for at, many in enumerate((4000, 90, 1)) for g in range(many)]
+    got = {}
+    for r in langid._most_common(spark.createDataFrame(rows, "at int, gram long, n long"), 1000).collect():
+        got.setdefault(r["at"], set()).add(r["gram"])
+    assert {at: len(g) for at, g in got.items() if at} == {1: 90, 2: 1}
+    assert abs(len(got[0]) - 1000) < 60  # those of the last count are drawn by hash
+    count = {g: n for at, g, n in rows if at == 0}
+    least = min(count[g] for g in got[0])
+    assert all(g in got[0] for g, n in count.items() if n > least)
+    assert langid._most_common(spark.createDataFrame([], "at int, gram long, n long"), 10).count() == 0
+
+
 def test_near_duplicates_keep_every_component(spark):
     """Null and shared ids: each component keeps exactly one row."""
     import corpus_pipeline as p
