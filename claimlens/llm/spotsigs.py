@@ -78,16 +78,28 @@ def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
     return F.when(small < threshold * large, 0.0).otherwise(F.when(compared >= threshold, compared).otherwise(0.0))
 
 
-#: Bytes of text that one range of ids holds, about.
-RANGE_BYTES = 32 << 20
+#: Bytes of rows that one range of ids holds, about, and what a row takes besides its text.
+RANGE_BYTES, ROW_BYTES = 32 << 20, 64
 
 
-def _ranges(keyed: DataFrame, parts: int) -> list[tuple[int, int]]:
-    """Edges that cut keyed(k, h) into about parts ranges, from a sample of some 64 keys a range."""
-    rows = keyed.count()
-    fraction = min(1.0, 64.0 * parts / max(rows, 1))
-    found = sorted(tuple(r) for r in (keyed if fraction == 1.0 else keyed.sample(fraction, 1)).collect())
-    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+def _ranges(sized: DataFrame, held: int, parts: int) -> list[tuple[int, int]]:
+    """Edges that cut sized(k, h, bytes), of held bytes in all, into about parts ranges of equal bytes.
+
+    Rows are drawn by their bytes, some 64 a range; a row that is drawn for certain stands
+    for all its bytes, any other for as many as one draw.
+    """
+    if parts < 2:
+        return []
+    each = held / (64.0 * parts)
+    drawn = sized.where(F.rand(1) * F.lit(each) < F.col("bytes")).collect()
+    found = sorted((r["k"], r["h"], max(float(r["bytes"]), each)) for r in drawn)
+    room = sum(w for _, _, w in found) / parts
+    edges, before = set(), 0.0
+    for k, h, weight in found:
+        if before // room != (before + weight) // room and before:
+            edges.add((k, h))
+        before += weight
+    return sorted(edges)[: parts - 1]
 
 
 def _place(k: Column, h: Column, edges: list[tuple[int, int]]) -> Column:
@@ -110,7 +122,7 @@ def with_next(docs: DataFrame, extra: Callable[[DataFrame], DataFrame] | None =
 
     extra adds the carried columns to rows of text.
 
-    Ids are cut into ranges at sampled edges, by the size of the texts; each is ordered
+    Ids are cut into ranges of about equal bytes at sampled edges, a range a task; each is ordered
     on its own, and a range's last row finds the next range's first, which is sent
     along.  Rows of one id are ordered by their texts' hashes, then texts, and ranges
     cut between them too; null ids come first.  A text travels once.
@@ -118,14 +130,16 @@ def with_next(docs: DataFrame, extra: Callable[[DataFrame], DataFrame] | None =
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("k")).withColumn("h", F.xxhash64("text"))
-    held = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size = F.octet_length("text").cast("long") + ROW_BYTES
+    held = rows.agg(F.sum(size)).first()[0] or 0
     parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // range_bytes)), 1 << 15)
-    rows = rows.withColumn("part", _place(F.col("k"), F.col("h"), _ranges(rows.select("k", "h"), parts)))
+    edges = _ranges(rows.select("k", "h", size.alias("bytes")), held, parts) if held else []
+    rows = rows.withColumn("part", _place(F.col("k"), F.col("h"), edges).cast("int"))
     firsts = rows.groupBy("part").agg(F.min(F.struct("k", "h", "text")).alias("first")).select("part", "first.*")
     before = Window.orderBy("part")  # one row a range
     ends = firsts.withColumn("part", F.coalesce(F.lag("part").over(before), F.max("part").over(Window.partitionBy())))
     both = rows.withColumn("after", F.lit(0)).unionByName(ends.withColumn("doc_id", F.lit(None).cast("long")).withColumn("after", F.lit(1)))
-    dealt = both.repartition(4 * parts, "part")  # so many that few ranges share a task
+    dealt = both.repartitionById(len(edges) + 1, "part")  # a range a task
     dealt = extra(dealt) if extra else dealt
     order = Window.partitionBy("part").orderBy("after", "k", "h", "text")
     return dealt.withColumn("next", F.lead(F.struct("text", *carry)).over(order)).where("after = 0").drop("k", "h", "part", "after")
