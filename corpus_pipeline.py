@@ -17,14 +17,14 @@ from claimlens.session import ship
 PASSAGE_BYTES, PASSAGE_WORDS = 240, 51
 
 
-def _marked(docs: DataFrame, salt: str) -> DataFrame:
-    """docs as row, its doc_id, text and source, and _row and _row2, 128 bits of hashes that tell rows apart.
+def _marked(docs: DataFrame, salt: str, *names: str) -> DataFrame:
+    """docs as row, its columns names, and _row and _row2, 128 bits of hashes that tell rows apart.
 
     Maps, which have no hash, count as their JSON.
     """
     every = [F.col(f"`{c}`") for c in docs.columns]
     plain = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(every, docs.schema.fields)]
-    return docs.select(F.struct(*every).alias("row"), "doc_id", "text", "source", F.xxhash64(*plain).alias("_row"), F.xxhash64(F.lit(salt), *plain).alias("_row2"))
+    return docs.select(F.struct(*every).alias("row"), *names, F.xxhash64(*plain).alias("_row"), F.xxhash64(F.lit(salt), *plain).alias("_row2"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each SimHash component: that with the smallest doc_id, a null one only where there is no other."""
     ship(spark)
     key = ("_row", "_row2")
-    marked = _marked(docs, "near")
+    marked = _marked(docs, "near", "doc_id", "text")
     kept = simhash.representatives(marked.select("doc_id", "text", *key), key)
     # rows that are equal in every column have one key
     return marked.select("row", *key).join(kept, list(key)).groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
@@ -58,7 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     weight = mixing.quality_weight(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     key = ["_row", "_row2"]
-    marked = _marked(docs, "mix")
+    marked = _marked(docs, "mix", "doc_id", "text", "source")
     copies = mixing.mix(marked, by_id=weight, carry=["doc_id", *key]).groupBy(*key).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     # the join leaves rows dealt out and sorted by key, as the aggregation needs them
     found = marked.select("row", *key).join(copies, key).groupBy(*key).agg(F.first("row").alias("row"), F.first("_copies").alias("_copies"))
